@@ -46,14 +46,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _bucket(key: Column, bounds: list, low: int, high: int) -> Column:
-    """Number of bounds at or below key, as a balanced tree of comparisons."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(key < F.lit(bounds[mid]), _bucket(key, bounds, low, mid)).otherwise(
-        _bucket(key, bounds, mid + 1, high)
-    )
+def _bucket(key: Column, bounds: list) -> Column:
+    """Number of the sorted bounds at or below key, by binary search in a constant array."""
+    if not bounds:
+        return F.lit(0)
+    held = F.array(*map(F.lit, bounds))
+    span = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s.lo + s.hi) / 2).cast("int")
+        below = key < F.get(held, mid)
+        return F.when(s.lo >= s.hi, s).when(below, span(s.lo, mid)).otherwise(span(mid + 1, s.hi))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, span(F.lit(0), F.lit(len(bounds))), halve, lambda s: s.lo)
 
 
 def with_successors(
@@ -91,7 +97,7 @@ def with_successors(
     distinct = sorted({k for k in sample if k != least})
     step = max(1, -(-len(distinct) // buckets))
     bounds = distinct[step // 2 :: step]
-    own = _bucket(F.col("_key"), bounds, 0, len(bounds)) if bounds else F.lit(0)
+    own = _bucket(F.col("_key"), bounds)
     place = lambda b, ahead: F.struct(b.cast("int").alias("_bucket"), F.lit(ahead).alias("_ahead"))
     homes = F.array(place(F.col("_own"), False))
     if bounds:
