@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import minhash, quality, simhash
+from tessella.llm import minhash, quality, simhash, tokens
 from tessella.llm.common import table
 
 #: Words a shingle in op1's contract.
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_tokens": op4_tokens,
     "op5_minhash": op5_minhash,
     "op8_quality": op8_quality,
 }
