@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import minhash, quality, simhash, tokens
+from tessella.llm import decontaminate, minhash, quality, simhash, tokens
 from tessella.llm.common import table
 
 #: Words a shingle in op1's contract.
@@ -25,6 +25,44 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), b AS (
+    SELECT item_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), win AS (
+    SELECT DISTINCT item_id, array_to_string(w[p : p + 9], ' ') AS t, least(len(w), 10) AS size
+    FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(p)
+    WHERE len(w) > 0
+), spot AS (
+    SELECT rid, p, size, array_to_string(w[p : p + size - 1], ' ') AS t
+    FROM d, (SELECT DISTINCT size FROM win) AS s, unnest(range(1, len(w) - size + 2)) AS u(p)
+), hit AS (
+    SELECT rid, p, size, item_id FROM spot JOIN win USING (size, t)
+), covered AS (
+    SELECT rid, count(DISTINCT k) AS n_hit
+    FROM (SELECT DISTINCT rid, p, size FROM hit) AS h, unnest(range(p, p + size)) AS u(k)
+    GROUP BY rid
+), items AS (
+    SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,7 +71,10 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_tokens": op4_tokens,
     "op5_minhash": op5_minhash,
+    "op6_decontamination": op6_decontamination,
     "op8_quality": op8_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontamination": OP6_SQL,
+}

@@ -1,3 +1,26 @@
+import os
+
+import duckdb
+import pandas as pd
+
+from tessella.llm import queries
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
 def larger(sf: str) -> str:
     """The next larger generated tables."""
     return sf.replace("sf0.001", "sf0.01")
+
+
+def same_as_sql(spark, sf, name):
+    """The registered query and its SQL give the same rows."""
+    con = duckdb.connect()
+    for t in TABLES.split():
+        if os.path.exists(f"{sf}/{t}.parquet"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    tidy = lambda df: df[columns].sort_values(columns).reset_index(drop=True)
+    pd.testing.assert_frame_equal(tidy(got), tidy(want), check_dtype=False)
