@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, minhash, quality, simhash, tokens
+from tessella.llm import decontaminate, minhash, quality, simhash, tokens, warc
 from tessella.llm.common import table
 
 #: Words a shingle in op1's contract.
@@ -67,14 +67,41 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex
+    FROM pages
+), b AS (
+    SELECT page_id, payload_bytes, hex, min(page_id) OVER (PARTITION BY hex) AS first_id,
+           list_transform(range(0, 8), lambda k: ('0x' || substr(hex, (5 * k + 1)::INT, 5))::BIGINT) AS parts
+    FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(parts, lambda v: concat(
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32768 % 32 + 1)::INT, 1),
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 1024 % 32 + 1)::INT, 1),
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32 % 32 + 1)::INT, 1),
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v % 32 + 1)::INT, 1))), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_tokens": op4_tokens,
     "op5_minhash": op5_minhash,
     "op6_decontamination": op6_decontamination,
     "op8_quality": op8_quality,
+    "op9_warc": op9_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op6_decontamination": OP6_SQL,
+    "op9_warc": OP9_SQL,
 }
