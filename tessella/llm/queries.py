@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, minhash, quality, simhash, tokens, warc
+from tessella.llm import decontaminate, minhash, pack, quality, simhash, tokens, warc
 from tessella.llm.common import table
 
 #: Words a shingle in op1's contract.
@@ -17,6 +17,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    clusters = simhash.near_duplicates(docs).select("doc_id", F.col("component_id").alias("cluster"))
+    return pack.pack(pack.sized_by_words(docs, clusters))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -94,6 +100,7 @@ FROM b
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_packing": op2_packing,
     "op4_tokens": op4_tokens,
     "op5_minhash": op5_minhash,
     "op6_decontamination": op6_decontamination,
