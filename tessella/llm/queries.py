@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, minhash, pack, quality, simhash, tokens, warc
+from tessella.llm import chat, decontaminate, minhash, pack, quality, simhash, tokens, warc
 from tessella.llm.common import table
 
 #: Words a shingle in op1's contract.
@@ -98,6 +98,28 @@ FROM b
 """
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+OP10_SQL = """
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), p AS (
+    SELECT conv_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+           md5(string_agg(concat(role, chr(1), text), chr(2)) OVER w) AS h
+    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), whole AS (
+    SELECT min(conv_id) AS conv_id, n, h, count(*) AS n_copies FROM p WHERE k = n GROUP BY n, h
+), stay AS (
+    SELECT * FROM whole WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k < p.n AND p.k = whole.n AND p.h = whole.h)
+)
+SELECT conv_id, any_value(n)::BIGINT AS n_turns, any_value(n_copies)::BIGINT AS n_copies,
+       string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>'), chr(10) ORDER BY turn, role, text) AS text
+FROM t JOIN stay USING (conv_id) GROUP BY conv_id
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -106,9 +128,11 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
+    "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {
     "op6_decontamination": OP6_SQL,
     "op9_warc": OP9_SQL,
+    "op10_chat": OP10_SQL,
 }
