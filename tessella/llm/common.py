@@ -68,6 +68,7 @@ def with_successors(
     order: list[str],
     wrap: bool,
     per_bound: int = 24,
+    barred: DataFrame | None = None,
 ) -> DataFrame:
     """Range-partition ``df`` by ``key`` so that every row shares a task, in order,
     with the row after it.
@@ -79,21 +80,18 @@ def with_successors(
     is sent, marked, to the last bucket too. The rows are shuffled once, whatever
     the number of buckets; a bound is a key of the data, drawn from a sample of
     ``per_bound`` keys a bucket, and only decides how even the buckets are.
-    Null keys must have been replaced by the caller.
+    Keys in ``barred`` (_key) never become bounds. Null keys must have been replaced by
+    the caller.
     """
     spark = df.sparkSession
     buckets = 2 * partitions(spark)
     keyed = df.withColumn("_key", key)
     keys = keyed.select("_key")
     least = keys.agg(F.min("_key")).first()[0]
-    sample = [
-        r[0]
-        for r in keys.select("_key", F.xxhash64("_key").alias("_h"))
-        .orderBy("_h", "_key")
-        .limit(buckets * per_bound)
-        .select("_key")
-        .collect()
-    ]
+    drawn = keys.select("_key", F.xxhash64("_key").alias("_h")).orderBy("_h", "_key").limit(buckets * per_bound).select("_key")
+    if barred is not None:
+        drawn = drawn.join(barred, "_key", "left_anti")
+    sample = [r[0] for r in drawn.collect()]
     distinct = sorted({k for k in sample if k != least})
     step = max(1, -(-len(distinct) // buckets))
     bounds = distinct[step // 2 :: step]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontaminate, minhash, pack, quality, simhash, tokens, warc
+from tessella.llm import chat, decontaminate, html, licenses, minhash, pack, quality, simhash, tokens, warc
 from tessella.llm.common import table
 
 #: Words a shingle in op1's contract.
@@ -23,6 +23,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(pack.sized_by_words(docs, clusters))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.findings(table(spark, sf_dir, "documents"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,10 @@ FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -123,9 +131,11 @@ FROM t JOIN stay USING (conv_id) GROUP BY conv_id
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op3_licenses": op3_licenses,
     "op4_tokens": op4_tokens,
     "op5_minhash": op5_minhash,
     "op6_decontamination": op6_decontamination,
+    "op7_html": op7_html,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
