@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.plans import worlds
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _module in (worlds,):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)

@@ -1 +1 @@
-
+"""Streaming forms of the counting and packing operators."""
