@@ -46,6 +46,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_below(h: Column, wanted: int, rows: int) -> Column:
+    """Keeps about ``wanted`` of ``rows`` rows, by their 64-bit hash ``h`` alone; nothing
+    else is needed to draw a sample, so only the drawn rows ever leave their tasks."""
+    if wanted >= rows:
+        return F.lit(True)
+    return h < F.lit(-(1 << 63) + ((wanted << 64) // rows))
+
+
 def _bucket(key: Column, bounds: list) -> Column:
     """Number of the sorted bounds at or below key, by binary search in a constant array."""
     if not bounds:

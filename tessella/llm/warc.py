@@ -2,8 +2,8 @@
 
 Each page becomes a WARC/1.1 record with an HTTP head and, for a response, the page's
 bytes; every record is a Zstandard frame of its own, so it can be read alone. The
-dictionary is trained on records of a bounded sample (``SAMPLE`` pages of at most
-``SAMPLE_BYTES`` with the smallest hashes) and leads every file in a skippable frame.
+dictionary is trained on records of a bounded sample (about ``SAMPLE`` pages, drawn by
+the hash of their id, of at most ``SAMPLE_BYTES``) and leads every file in a skippable frame.
 
 Files are written by Spark's text sink, whose rows here are raw frames and whose line
 separator is an empty skippable frame, so a file is a plain sequence of frames. They go
@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialise, scratch_dir
+from tessella.llm.common import hash_below, materialise, scratch_dir
 
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"  # skippable frame that holds a WARC dictionary
 SEPARATOR = "\x50\x2a\x4d\x18\x00\x00\x00\x00"  # empty skippable frame
@@ -164,10 +164,10 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = DATE)
         .select("digest", "first_id")
     )
     sample = (
-        keyed.filter(F.octet_length("html") <= SAMPLE_BYTES)
-        .select(F.xxhash64("digest", "page_id").alias("h"), "page_id", "url", "html")
-        .orderBy("h", "page_id")
-        .limit(SAMPLE)
+        keyed.filter(hash_below(F.xxhash64("page_id"), SAMPLE, pages.count()))
+        .filter(F.octet_length("html") <= SAMPLE_BYTES)
+        .select("page_id", "url", "html")
+        .limit(2 * SAMPLE)
         .collect()
     )
     dictionary = train([record(r.page_id, r.url, r.html.encode("utf-8", "replace"), None, False, date) for r in sample]) if sample else b""
