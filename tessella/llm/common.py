@@ -86,7 +86,7 @@ def with_successors(
     sent to the bucket before as well, marked ``_ahead``: the first such row there
     is the successor of that bucket's last own row. With ``wrap`` the smallest key
     is sent, marked, to the last bucket too. The rows are shuffled once, whatever
-    the number of buckets; a bound is a key of the data, drawn from a sample of
+    the number of buckets; a bound is a key of the data, drawn from a sample of about
     ``per_bound`` keys a bucket, and only decides how even the buckets are.
     Keys in ``barred`` (_key) never become bounds. Null keys must have been replaced by
     the caller.
@@ -95,8 +95,8 @@ def with_successors(
     buckets = 2 * partitions(spark)
     keyed = df.withColumn("_key", key)
     keys = keyed.select("_key")
-    least = keys.agg(F.min("_key")).first()[0]
-    drawn = keys.select("_key", F.xxhash64("_key").alias("_h")).orderBy("_h", "_key").limit(buckets * per_bound).select("_key")
+    least, rows = keys.agg(F.min("_key"), F.count("*")).first()
+    drawn = keys.filter(hash_below(F.xxhash64("_key"), buckets * per_bound, rows)).distinct()
     if barred is not None:
         drawn = drawn.join(barred, "_key", "left_anti")
     sample = [r[0] for r in drawn.collect()]
