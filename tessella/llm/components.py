@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Links stay distributed: each round is two keyed minima (combined before the
-shuffle) and two equi-joins, and is checkpointed, so neither a hub vertex nor a
-long chain meets in one task or in the driver. Rounds grow with the logarithm of
+shuffle) and two equi-joins whose skewed keys Spark may split, and is checkpointed,
+so neither a hub vertex nor a long chain meets in one task or in the driver. Rounds grow with the logarithm of
 the longest chain.
 """
 
@@ -20,7 +20,9 @@ def _least(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "least").alias("least"))
+    # written out, so that the join below shuffles both sides for itself and a hub's
+    # links can be split over tasks
+    least = materialise(_least(both).select("u", F.least("u", "least").alias("least")))
     return (
         both.filter(F.col("v") > F.col("u"))
         .join(least, "u")

@@ -231,7 +231,8 @@ def near_duplicates(
     rooted = named.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # written out, so that the join shuffles both sides and a large group can be split
+    ids = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     classes = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
