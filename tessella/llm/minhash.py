@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -33,6 +34,7 @@ _BLOCK = 8192  # shingles permuted at a time, 4 MB with 128 permutations
 _EMPTY = np.full(PERMUTATIONS, 0xFFFF, np.uint16)
 
 
+@lru_cache
 def _family(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     a = rng.integers(0, 1 << 32, count, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -40,9 +42,6 @@ def _family(count: int) -> tuple[np.ndarray, np.ndarray]:
     return a[:, None], b[:, None]
 
 
-_A, _B = _family(PERMUTATIONS)
-
-
 def shingle_hashes(text: str, n: int = SHINGLE) -> Iterator[np.ndarray]:
     """32-bit hashes of all word n-shingles, block by block."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -61,11 +60,12 @@ def shingle_hashes(text: str, n: int = SHINGLE) -> Iterator[np.ndarray]:
         )
 
 
-def signature(text: str, n: int = SHINGLE) -> np.ndarray | None:
-    """uint16[PERMUTATIONS]; None for a text without words."""
+def signature(text: str, n: int = SHINGLE, count: int = PERMUTATIONS) -> np.ndarray | None:
+    """uint16[count]; None for a text without words."""
+    a, b = _family(count)
     least = None
     for hashes in shingle_hashes(text, n):
-        low = (_A * hashes + _B).min(axis=1)
+        low = (a * hashes + b).min(axis=1)
         least = low if least is None else np.minimum(least, low)
     return None if least is None else least.astype(np.uint16)
 

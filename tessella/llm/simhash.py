@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm import minhash
 from tessella.llm.common import materialise
 from tessella.llm.components import connected_components
 
@@ -116,14 +117,18 @@ def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return values[moved], values[label[moved]]
 
 
-def _run_links(radius: int, limit: int):
+def _run_links(radius: int, limit: int, chain: bool = False):
     """Over rows sorted by key: links found within each run of one key; for runs longer
-    than ``limit`` rows (fp, null). Holds one batch and at most ``limit`` rows of a run."""
+    than ``limit`` rows (fp, null), or with ``chain`` links of all to the run's first row.
+    Holds one batch and at most ``limit`` rows of a run."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def close(run: list[np.ndarray], over: bool, out_u: list, out_v: list, marks: list) -> None:
         values = np.unique(np.concatenate(run))
-        if over:
+        if over and chain:
+            out_u.append(values)
+            out_v.append(np.full(len(values), run[0][0]))
+        elif over:
             marks.append(values)
         elif len(values) > 1:
             u, v = forest(values.view(np.uint64), radius)
@@ -172,8 +177,8 @@ def _run_links(radius: int, limit: int):
                 held += size[k]
                 if held > limit:  # give up comparing; pass members on as they come
                     over = True
-                    marks.append(np.concatenate(run))
-                    run = [run[-1][:1]]
+                    close(run, over, out_u, out_v, marks)
+                    run = [run[0][:1]]
             last = keys[-1]
             yield flush()
         if run:
@@ -237,15 +242,161 @@ def near_duplicates(
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without all but one document of each near-duplicate group: the one of the
+# -- near copies by shingle similarity ------------------------------------------------
+
+#: What ``near_copies`` takes as near: Jaccard similarity of the sets of 5-word shingles.
+SIMILARITY = 0.8
+#: Differing bits of the fingerprints of word sets up to which similarity is looked at.
+WORD_RADIUS = 8
+SKETCH = 256
+#: A sketch of 256 values has a standard error of 0.025 at 0.8.
+SLACK = 0.02
+GROUP_LIMIT = 4096
+_THIRDS = ((42, 22), (21, 21), (0, 21))  # (shift, width): any two within 8 bits are within 2 in one
+
+
+def word_set_simhash(text: str | None) -> int:
+    """Unsigned 64-bit fingerprint over the distinct words: one vote each."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return 0
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype=">u8")
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        counts += np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(words)).tobytes(), "big")
+
+
+def _sketched(shingle: int):
+    empty = np.full(SKETCH, 0xFFFF, np.uint16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            fps = np.array([word_set_simhash(t) for t in texts], np.uint64).view(np.int64)
+            sketches = [minhash.signature(t, shingle, SKETCH) for t in texts]
+            packed = [(empty if x is None else x).tobytes() for x in sketches]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(packed, pa.binary())], names=["doc_id", "fp", "sketch"])
+
+    return run
+
+
+def _word_files(distinct: DataFrame) -> DataFrame:
+    """(key, fp): each third of the fingerprint under its own value and all one bit away."""
+    rows = [
+        F.struct(F.lit(k).cast("long").alias("s"), F.lit(shift).alias("a"), F.lit((1 << width) - 1).cast("long").alias("m"), F.lit(bit).cast("long").alias("b"))
+        for k, (shift, width) in enumerate(_THIRDS)
+        for bit in [0, *(1 << i for i in range(width))]
+    ]
+    value = F.expr("shiftrightunsigned(fp, f.a)").bitwiseAND(F.col("f.m")).bitwiseXOR(F.col("f.b"))
+    return distinct.select("fp", F.explode(F.array(*rows)).alias("f")).select((value + F.shiftleft(F.col("f.s"), 32)).alias("key"), "fp")
+
+
+def _alike(sketches: np.ndarray, least: float) -> np.ndarray:
+    """Boolean matrix of pairs whose sketches agree in at least that share of values."""
+    n = len(sketches)
+    out = np.zeros((n, n), bool)
+    block = max(1, (1 << 24) // (n * sketches.shape[1]))
+    need = least * sketches.shape[1]
+    for at in range(0, n, block):
+        out[at : at + block] = (sketches[at : at + block, None, :] == sketches[None, :, :]).sum(axis=2, dtype=np.int32) >= need
+    return out
+
+
+def _similar(least: float, limit: int):
+    """Over rows (key, id, sketch) sorted by key: a spanning forest of the similar pairs of
+    each run. A run longer than ``limit`` is taken in parts, each with the first members of
+    the run, and each with the last of the part before."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def links(ids: list[int], sketches: list[bytes]) -> tuple[list[int], list[int]]:
+        near = _alike(np.frombuffer(b"".join(sketches), np.uint16).reshape(len(ids), -1), least)
+        label = np.arange(len(ids))
+        while True:
+            new = np.where(near, label[None, :], len(ids)).min(axis=1)
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return [ids[i] for i in moved], [ids[i] for i in label[moved]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sketches = None, [], []
+        u: list[int] = []
+        v: list[int] = []
+
+        def close() -> None:
+            if len(ids) > 1:
+                a, b = links(ids, sketches)
+                u.extend(a)
+                v.extend(b)
+
+        for batch in batches:
+            for k, i, x in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if k != key:
+                    close()
+                    key, ids, sketches = k, [], []
+                ids.append(i)
+                sketches.append(x)
+                if len(ids) >= limit:
+                    close()
+                    held = [*range(16), *range(limit - 16, limit)] if limit > 64 else [0, limit - 1]
+                    ids, sketches = [ids[h] for h in held], [sketches[h] for h in held]
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+                u, v = [], []
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+
+    return run
+
+
+_NO_ID = -(1 << 63)
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(sketches, kept): fp and sketch of every row, and the ids (``id``, a null doc_id being
+    the smallest long) of the smallest document of each group of near copies.
+
+    At a similarity of 0.8 two fingerprints over 5-word shingles differ in about 10 of 64
+    bits, which no index of small balls can look up: of such pairs in the generated tables
+    13 % are within 4 bits. Over the sets of words, the same pairs differ in 4 bits, and 99 %
+    are within ``WORD_RADIUS``. So the index files word-set fingerprints, all that it brings
+    together is compared over the whole fingerprint, and what is linked by that (loosely) is
+    then compared by sketches of its 5-word shingles; only links of enough similarity count.
+    Loose groups beyond ``group_limit`` are first dealt by bands of the sketch."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    prints = materialise(slim.mapInArrow(_sketched(shingle), "doc_id long, fp long, sketch binary"))
+    nodes = materialise(prints.groupBy("fp", "sketch").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("id")))
+    filed = _word_files(nodes.select("fp").distinct()).repartition("key").sortWithinPartitions("key")
+    loose = connected_components(filed.mapInArrow(_run_links(WORD_RADIUS, RUN_LIMIT, chain=True), "u long, v long"))
+    rooted = nodes.join(loose.withColumnRenamed("u", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "id", "sketch")
+    sizes = materialise(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"))
+    company = materialise(rooted.join(sizes, "root").select("root", "n", "id", "sketch"))
+    band = F.explode(F.sequence(F.lit(0), F.lit(31)))
+    few = company.filter(F.col("n") <= group_limit).select(F.col("root").alias("key"), "id", "sketch")
+    many = company.filter(F.col("n") > group_limit).withColumn("k", band)
+    values = F.substring("sketch", F.lit(1) + F.col("k") * 8, F.lit(8))  # four values a band
+    many = many.select(F.xxhash64("root", "k", values).alias("key"), "id", "sketch")
+    sorted_runs = few.unionByName(many).repartition("key").sortWithinPartitions("key", "id")
+    links = sorted_runs.mapInArrow(_similar(similarity - SLACK, group_limit), "u long, v long")
+    copies = connected_components(links)
+    kept = nodes.select("id").distinct().join(copies.select(F.col("u").alias("id")), "id", "left_anti")
+    return prints, kept
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without all but one document of each group of near copies: the one of the
     smallest doc_id stays. Columns are unchanged. doc_id identifies a document: of rows
     that share one (null included) a single row stays."""
-    ids = near_duplicates(docs, shingle, radius).filter("doc_id <=> component_id").select("doc_id").distinct()
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
-    kept = docs.alias("d").join(ids.alias("k"), same, "left_semi")
+    prints, kept = near_copies(docs, shingle, similarity)
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    left = docs.withColumn("_id", own).join(kept.select(F.col("id").alias("_id")), "_id", "left_semi")
+    if prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left.select(*docs.columns)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return kept.select("doc_id", row).groupBy("doc_id").agg(F.first("row").alias("row")).select("row.*")
+    return left.select("_id", row).groupBy("_id").agg(F.first("row").alias("row")).select("row.*")
 
 
 def as_hex(fp: Column) -> Column:

@@ -1,8 +1,10 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessella.llm import decontaminate, quality, queries, simhash
 from tests.llm.conftest import larger
 from tests.llm.test_decontaminate import plain as plain_report
-from tests.llm.test_simhash import plain_components, plain_print
+from tests.llm.test_near_copies import kept_by_all_pairs
 
 
 def test_stages_equal_brute_force(spark, sf):
@@ -13,9 +15,9 @@ def test_stages_equal_brute_force(spark, sf):
     scored = {r.doc_id: r.predicted for r in queries.op8_quality(spark, sf).collect()}
 
     good = {i for i in texts if scored[i] == 1}
-    prints = {i: plain_print(texts[i], 5) for i in sorted(good)}
-    roots = plain_components(prints)
-    single = {i for i in good if roots[i] == i}
+    single = {r.doc_id for r in simhash.keep_one(docs.filter(F.col("doc_id").isin(good))).collect()}
+    few = {i: texts[i] for i in sorted(good)[:120]}
+    assert single & set(few) <= kept_by_all_pairs(few, 0.86)  # near copies go
     dirty = {r.doc_id for r in queries.op6_decontamination(spark, sf).collect() if r.contaminated}
     clean = single - dirty
     some = sorted(single)[:60] + sorted(single & dirty)
