@@ -25,7 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import with_successors
+from tessella.llm.common import materialise, with_successors
+from tessella.llm.components import connected_components
+from tessella.llm.sketches import similar_runs
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -134,3 +136,66 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     ordered = with_successors(slim, key, ["text"], wrap=True)
     return ordered.select("_bucket", "_ahead", "doc_id", "text").mapInArrow(_compare, _OUT)
+
+
+# -- near duplicates by banding --------------------------------------------------------
+
+SIMILARITY = 0.8
+BANDS = PERMUTATIONS // 4  # of four values: a pair at 0.8 meets in some band but for 5e-8
+MARGIN = 0.1  # below the similarity, in estimates, from which pairs are counted exactly
+RUN_LIMIT, PAIRS_UP_TO = 2048, 64
+
+
+def _prints(shingle: int):
+    empty = _EMPTY.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            signatures = [signature(t, shingle) for t in texts]
+            sets = [np.unique(np.concatenate([*shingle_hashes(t, shingle)] or [np.empty(0, np.uint32)])).view(np.int32) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([empty if x is None else x.tobytes() for x in signatures], pa.binary()),
+                    pa.array(sets, pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "signature", "shingles"],
+            )
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id, n_links), a row for each input row: documents linked at a
+    Jaccard similarity of ``similarity`` or more, the smallest id of those reachable, and
+    the number of links of the document's class of equal shingle sets.
+
+    Classes of equal sets are filed under each band of their signature. Rows of a band with
+    similar signatures are paired (in runs of more than ``PAIRS_UP_TO`` by a spanning
+    forest), and each pair's Jaccard similarity is then counted over its two shingle sets.
+    Rows of null doc_id form classes like others but name none; texts without words are
+    one class."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    prints = materialise(slim.mapInArrow(_prints(shingle), "doc_id long, signature binary, shingles array<int>"))
+    keyed = prints.withColumn("node", F.xxhash64("shingles", F.size("shingles")))
+    nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
+    nodes = materialise(nodes)
+    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
+    filed = nodes.filter(F.size("shingles") > 0).select("node", "signature", band.alias("k"))
+    key = F.xxhash64("k", F.substring("signature", F.lit(1) + F.col("k") * 8, F.lit(8)))
+    runs = filed.select(key.alias("key"), "node", "signature").repartition("key").sortWithinPartitions("key", "node")
+    met = runs.mapInArrow(similar_runs(similarity - MARGIN, RUN_LIMIT, PAIRS_UP_TO), "u long, v long")
+    pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sets = nodes.select("node", "shingles")
+    left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    links = materialise(
+        pairs.join(left, "u").join(right, "v").filter(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
+    )
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    roots = connected_components(links).withColumnRenamed("u", "node")
+    rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    named = rooted.join(ids, "root").join(ends, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return keyed.select("doc_id", "node").join(named, "node").select("doc_id", "component_id", "n_links")

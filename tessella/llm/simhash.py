@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from tessella.llm import minhash
 from tessella.llm.common import materialise
 from tessella.llm.components import connected_components
+from tessella.llm.sketches import similar_runs
 
 RADIUS = 4
 SEED = 42
@@ -292,66 +293,6 @@ def _word_files(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp", F.explode(F.array(*rows)).alias("f")).select((value + F.shiftleft(F.col("f.s"), 32)).alias("key"), "fp")
 
 
-def _alike(sketches: np.ndarray, least: float) -> np.ndarray:
-    """Boolean matrix of pairs whose sketches agree in at least that share of values."""
-    n = len(sketches)
-    out = np.zeros((n, n), bool)
-    block = max(1, (1 << 24) // (n * sketches.shape[1]))
-    need = least * sketches.shape[1]
-    for at in range(0, n, block):
-        out[at : at + block] = (sketches[at : at + block, None, :] == sketches[None, :, :]).sum(axis=2, dtype=np.int32) >= need
-    return out
-
-
-def _similar(least: float, limit: int):
-    """Over rows (key, id, sketch) sorted by key: a spanning forest of the similar pairs of
-    each run. A run longer than ``limit`` is taken in parts, each with the first members of
-    the run, and each with the last of the part before."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def links(ids: list[int], sketches: list[bytes]) -> tuple[list[int], list[int]]:
-        near = _alike(np.frombuffer(b"".join(sketches), np.uint16).reshape(len(ids), -1), least)
-        label = np.arange(len(ids))
-        while True:
-            new = np.where(near, label[None, :], len(ids)).min(axis=1)
-            new = np.minimum(new, new[new])
-            if (new == label).all():
-                break
-            label = new
-        moved = np.flatnonzero(label != np.arange(len(ids)))
-        return [ids[i] for i in moved], [ids[i] for i in label[moved]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sketches = None, [], []
-        u: list[int] = []
-        v: list[int] = []
-
-        def close() -> None:
-            if len(ids) > 1:
-                a, b = links(ids, sketches)
-                u.extend(a)
-                v.extend(b)
-
-        for batch in batches:
-            for k, i, x in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if k != key:
-                    close()
-                    key, ids, sketches = k, [], []
-                ids.append(i)
-                sketches.append(x)
-                if len(ids) >= limit:
-                    close()
-                    held = [*range(16), *range(limit - 16, limit)] if limit > 64 else [0, limit - 1]
-                    ids, sketches = [ids[h] for h in held], [sketches[h] for h in held]
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
-                u, v = [], []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
-
-    return run
-
-
 _NO_ID = -(1 << 63)
 
 
@@ -380,7 +321,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARIT
     values = F.substring("sketch", F.lit(1) + F.col("k") * 8, F.lit(8))  # four values a band
     many = many.select(F.xxhash64("root", "k", values).alias("key"), "id", "sketch")
     sorted_runs = few.unionByName(many).repartition("key").sortWithinPartitions("key", "id")
-    links = sorted_runs.mapInArrow(_similar(similarity - SLACK, group_limit), "u long, v long")
+    links = sorted_runs.mapInArrow(similar_runs(similarity - SLACK, group_limit), "u long, v long")
     copies = connected_components(links)
     kept = nodes.select("id").distinct().join(copies.select(F.col("u").alias("id")), "id", "left_anti")
     return prints, kept

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tessella.llm import simhash
+from tessella.llm import minhash, simhash, sketches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,6 +81,19 @@ def test_against_all_pairs(spark, sf):
     assert slack <= got  # and none well below it
 
 
+def test_minhash_classes_equal_all_pairs(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    texts = {r.doc_id: r.text for r in rows} | {10_000: None, 10_001: "", 10_002: "one two", 10_003: "One  two", 10_004: rows[0].text}
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCS)
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
+    assert got.keys() == texts.keys()
+    assert {i for i, r in got.items() if r.component_id == i} == kept_by_all_pairs(texts, 0.8)
+    distinct = {frozenset(shingles(t)) for t in texts.values()}
+    for i, r in list(got.items())[::7]:
+        mine = shingles(texts[i])
+        assert r.n_links == sum(jaccard(mine, s) >= 0.8 for s in distinct if s != mine)
+
+
 def test_word_sets_meet(spark):
     """Any two fingerprints within the radius share a file."""
     rng = random.Random(9)
@@ -98,7 +111,7 @@ def test_alike_counts_equal_values():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 3, (40, 256)).astype(np.uint16)
     want = (x[:, None] == x[None]).mean(axis=2) >= 0.34
-    assert (simhash._alike(x, 0.34) == want).all()
+    assert (sketches.alike(x, 0.34) == want).all()
 
 
 def test_odd_rows(spark):
