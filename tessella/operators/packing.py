@@ -21,16 +21,16 @@ def whitespace_tokens(text: Column) -> Column:
 
 
 def not_blank(text: Column) -> Column:
-    return F.coalesce(F.regexp_replace(text, r"(?U)\s+", "") != "", F.lit(False))
+    return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
-def offsets(df: DataFrame, key: str, size: str, within: list[str] | None = None) -> DataFrame:
+def offsets(df: DataFrame, key: str, size: str, within: list[str] | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Adds ``offset``, the sum of ``size`` over rows of smaller ``key`` (BIGINT; ties broken
-    by nothing, so keys should be unique), per ``within`` group."""
+    by nothing, so keys should be unique), per ``within`` group. ``keys`` may give the keys
+    by a plan that does not compute the sizes; it only decides how even the ranges are."""
     groups = within or []
-    spread = df.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
-    bounds = df.approxQuantile(key, [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES)) if spread.a is not None else []
-    cuts = sorted({int(b) for b in bounds})
+    bounds = (df if keys is None else keys).approxQuantile(key, [k / RANGES for k in range(1, RANGES)], 1 / (4 * RANGES))
+    cuts = sorted({int(b) for b in bounds or []})
     # number of cuts at or below the key
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
     marked = df.withColumn("_range", place)
@@ -47,7 +47,8 @@ def pack(docs: DataFrame, block: int, key: str = "doc_id", tokens: str = "tokens
     """(within..., block_index, input_ids): whole blocks of the concatenated ``tokens``."""
     groups = within or []
     sized = docs.select(*groups, key, tokens, F.size(tokens).cast("bigint").alias("n")).filter("n > 0")
-    placed = offsets(sized.select(*groups, key, "n"), key, "n", groups).select(*groups, key, "offset")
+    # tokens stay where they are made but for one shuffle; only sizes are made twice
+    placed = offsets(sized.select(*groups, key, "n"), key, "n", groups, docs.select(key)).select(*groups, key, "offset")
     spread = sized.join(placed, [*groups, key])
     first, last = F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("n") - 1) / block)
     cut = spread.withColumn("block_index", F.explode(F.sequence(first, last)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessella.functions import vocab
 from tessella.functions.hashing import json_string, stable_index
 from tessella.operators.sampling import half_even, hash_rank
+from tessella.sources.scratch import materialise
 
 
 def formatted_id(prefix: str, number: Column) -> Column:
@@ -202,7 +203,7 @@ def drawn_recipes(
             fresh = first if taken is None else first.join(taken.select("_i"), "_i", "left_anti")
         else:
             fresh = picks
-        fresh = fresh.select("relation_index", "_i").checkpoint()
+        fresh = materialise(fresh.select("relation_index", "_i"))
         taken = fresh if taken is None else taken.unionByName(fresh)
         waiting = waiting.join(fresh, "relation_index", "left_anti")
         if waiting.isEmpty():

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import templates
+from tessella.functions import classify, templates
 from tessella.operators import corpus, packing, policies
 from tessella.plans import sql
 from tessella.plans.worlds import SEED, relations, relations_sql, table
+from tessella.sources.scratch import materialise
 from tessella.sources.tables import jsonl_field
 
 WORLD = "parts"
@@ -73,8 +74,6 @@ SELECT effect_id, array_to_string(list_transform(CASE WHEN len(recipe) > 1 THEN
 
 def render_metadata_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = ("forward", "reverse", "identity", "forward_identity", "forward_reverse", "mirror_forward", "prevention")
-    from tessella.functions import classify
-
     p, s = F.col("pattern"), F.col("partition")
     rows = relations(spark, sf_dir).withColumn("pattern", F.explode(F.array(*map(F.lit, patterns))))
     return rows.select(
@@ -96,7 +95,7 @@ FROM (SELECT *, lower(concat_ws(' ', qa_type, direction, partition)) AS v FROM (
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rel = relations(spark, sf_dir)
+    rel = materialise(relations(spark, sf_dir))
     return corpus.pretrain_corpus(rel, ROUNDS * rel.count(), FAMILY, SEED, TRAIN, WORLD)
 
 
@@ -213,8 +212,8 @@ def json_props_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rel = relations(spark, sf_dir)
-    return rel, corpus.sft_test_relations(rel, TEST_FRACTION, SEED)
+    rel = materialise(relations(spark, sf_dir))  # read several times by each query
+    return rel, materialise(corpus.sft_test_relations(rel, TEST_FRACTION, SEED))
 
 
 def sft_test_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
