@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from tessella.functions.hashing import canonical_json_sha256
 from tessella.operators import artifacts, packing, trainlog
 from tessella.plans.corpora import BLOCK, PACK_SQL
 from tessella.plans.worlds import table
+from tessella.sources.scratch import scratch_dir
 from tessella.streaming import counts
 from tessella.streaming.packing import stream_pack
 
@@ -155,10 +156,8 @@ def _stream_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 
 def _state_folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="tessella-stream-")  # local sessions only
-    return f"{shared.rstrip('/')}/stream-{spark.sparkContext.startTime}-{id(object())}"
+    """A checkpoint of its own for each run, so that a repeated query starts anew."""
+    return f"{scratch_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 QUERIES = {
