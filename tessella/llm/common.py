@@ -3,7 +3,6 @@ intermediates, and co-locating each row with its successor in key order."""
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

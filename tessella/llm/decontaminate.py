@@ -125,5 +125,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """``docs`` without those that hold any window; columns unchanged."""
     keys = [F.col("doc_id"), F.xxhash64("text"), F.octet_length("text")]
     bad = _hits(docs, benchmark_windows(benchmark, window), keys, base=False).select("_k0", "_k1", "_k2").distinct()
-    same = F.col("d.doc_id").eqNullSafe(F.col("_k0")) & (F.xxhash64("d.text") == F.col("_k1")) & (F.octet_length("d.text") == F.col("_k2"))
-    return docs.alias("d").join(bad, same, "left_anti")
+    own = F.col("d.doc_id").eqNullSafe(F.col("b._k0"))
+    same = own & (F.xxhash64("d.text") == F.col("b._k1")) & (F.octet_length("d.text") == F.col("b._k2"))
+    return docs.alias("d").join(bad.alias("b"), same, "left_anti")

@@ -332,12 +332,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY)
     smallest doc_id stays. Columns are unchanged. doc_id identifies a document: of rows
     that share one (null included) a single row stays."""
     prints, kept = near_copies(docs, shingle, similarity)
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    left = docs.withColumn("_id", own).join(kept.select(F.col("id").alias("_id")), "_id", "left_semi")
+    own = F.coalesce(F.col("d.doc_id").cast("long"), F.lit(_NO_ID))
+    left = docs.alias("d").join(kept.alias("k"), own == F.col("k.id"), "left_semi")
     if prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return left.select(*docs.columns)
+        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return left.select("_id", row).groupBy("_id").agg(F.first("row").alias("row")).select("row.*")
+    return left.select("doc_id", row).groupBy("doc_id").agg(F.first("row").alias("row")).select("row.*")
 
 
 def as_hex(fp: Column) -> Column:

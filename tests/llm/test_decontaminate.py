@@ -6,7 +6,7 @@ import pytest
 from tessella.llm import decontaminate, queries
 from tests.llm.conftest import larger, same_as_sql
 
-DOCS = "doc_id long, text string, items int, p string"
+DOCS = "doc_id long, text string, _k0 int, h string"
 ITEMS = "item_id long, text string, h int"
 
 

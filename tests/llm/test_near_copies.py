@@ -7,7 +7,7 @@ import pytest
 
 from tessella.llm import minhash, simhash, sketches
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DOCS = "doc_id long, text string, id string, row string, n_chars long"
 
 
 def shingles(text, n=5):
