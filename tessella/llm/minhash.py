@@ -15,19 +15,19 @@ a null doc_id comes before all others.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import materialise, with_successors
 from tessella.llm.components import connected_components
-from tessella.llm.sketches import similar_runs
+from tessella.llm.sketches import WIDTH, block_links, run_pairs
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -141,61 +141,143 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # -- near duplicates by banding --------------------------------------------------------
 
 SIMILARITY = 0.8
-BANDS = PERMUTATIONS // 4  # of four values: a pair at 0.8 meets in some band but for 5e-8
-MARGIN = 0.1  # below the similarity, in estimates, from which pairs are counted exactly
-RUN_LIMIT, PAIRS_UP_TO = 2048, 64
+BANDS = PERMUTATIONS // WIDTH  # a pair at 0.8 meets in some band but for 5e-8
+#: Below the similarity, in estimates, from which pairs are counted exactly: seven standard errors.
+MARGIN = 0.25
+#: Rows of a run up to which its pairs are sent to be counted, and rows of a part of a longer one.
+PAIRS_UP_TO, BLOCK = 64, 512
+#: Rows whose sets are wanted up to which they are broadcast, so that no text is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def _set(text: str, shingle: int) -> np.ndarray:
+    parts = [*shingle_hashes(text, shingle)]
+    return np.unique(np.concatenate(parts)).view(np.int32) if parts else np.empty(0, np.int32)
+
+
+def _prints(shingle: int, fingerprint: Callable[[str], int] | None):
+    """Over rows (..., text): the columns before the text, signature, node and size of the set,
+    and the text's unsigned 64-bit fingerprint by the function given."""
+    a, b = _family(PERMUTATIONS)
+
+    def of(text: str) -> tuple[bytes, int, int, int]:
+        own = _set(text, shingle)
+        least = _EMPTY if len(own) else None
+        for at in range(0, len(own), _BLOCK):
+            low = (a * own[at : at + _BLOCK].view(np.uint32) + b).min(axis=1)
+            least = low if at == 0 else np.minimum(least, low)
+        sig = _EMPTY if least is None else least.astype(np.uint16)
+        fp = 0 if fingerprint is None else fingerprint(text)
+        return sig.tobytes(), xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), len(own), fp - (fp >> 63 << 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(t.as_py() or "") for t in batch.columns[-1]]
+            made = [pa.array([x[c] for x in found], t) for c, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "signature", "node", "size", "fp"])
+
+    return run
 
 
-def _prints(shingle: int):
-    empty = _EMPTY.tobytes()
+def _sets(shingle: int):
+    """Over rows (node, text): node and set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            signatures = [signature(t, shingle) for t in texts]
-            sets = [np.unique(np.concatenate([*shingle_hashes(t, shingle)] or [np.empty(0, np.uint32)])).view(np.int32) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([empty if x is None else x.tobytes() for x in signatures], pa.binary()),
-                    pa.array(sets, pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "signature", "shingles"],
-            )
+            sets = [_set(t.as_py() or "", shingle) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def row_key(of: str = "") -> list[Column]:
+    """id, h, n: a row's doc_id (null is the smallest long), text hash and text length."""
+    own, text = F.coalesce(F.col(f"{of}doc_id").cast("long"), F.lit(-(1 << 63))), F.col(f"{of}text")
+    return [own.alias("id"), F.xxhash64(text).alias("h"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("n")]
+
+
+def printed(docs: DataFrame, shingle: int, *more: Column, fingerprint: Callable[[str], int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(prints, nodes): key, ``more``, fp, node, signature and size of the set of shingles of
+    each row; and of each node, which are the rows of equal sets, with the least row."""
+    slim = docs.select(*row_key(), *more, F.col("text").alias("text"))
+    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
+    prints = materialise(slim.mapInArrow(_prints(shingle, fingerprint), f"{given}, signature binary, node long, size long, fp long"))
+    least = F.min(F.struct("id", "h", "n")).alias("row")
+    return prints, materialise(prints.groupBy("node").agg(least, F.first("signature").alias("signature"), F.first("size").alias("size")))
+
+
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the nodes wanted, made again from the texts of their rows."""
+    rows = materialise(nodes.join(wanted, "node").select("node", "row.*"))
+    small = rows.count() <= BROADCAST_ROWS
+    slim = docs.select(*row_key(), F.col("text").alias("text"))
+    found = slim.join(F.broadcast(rows) if small else rows, ["id", "h", "n"]).select("node", "text")
+    return materialise(found.mapInArrow(_sets(shingle), "node long, shingles array<int>").dropDuplicates(["node"]))
+
+
+def similar_nodes(
+    nodes: DataFrame,
+    docs: DataFrame,
+    shingle: int,
+    similarity: float,
+    pairs_up_to: int = PAIRS_UP_TO,
+    block: int = BLOCK,
+    proposed: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` of ``docs`` → links (u, v) whose components are those of all pairs of that
+    Jaccard similarity, and (node, n_links), the number of such pairs.
+
+    Nodes are filed under each band of their signature, and each pair belongs to the first
+    band that it shares. Pairs of runs of at most ``pairs_up_to`` are joined with their sets,
+    as are ``proposed`` (u, v), which make links only. A longer run is cut into parts of
+    about ``block``, and each two parts are a task."""
+    band = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BANDS - 1).cast("long")))
+    values = F.substring("signature", F.lit(1) + F.col("k").cast("int") * 2 * WIDTH, F.lit(2 * WIDTH))
+    key = F.shiftleft(F.xxhash64("k", values), 5) + F.col("k")  # the low five bits tell the band
+    filed = nodes.filter("size > 0").select("node", "signature", band.alias("k")).select(key.alias("key"), "node")
+    sizes = materialise(filed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
+    company = materialise(filed.join(sizes, "key").select("key", "m", "node"))
+    of_key, least = F.col("key").bitwiseAND(F.lit(BANDS - 1)), similarity - MARGIN
+    few = company.filter(F.col("m") <= pairs_up_to).join(nodes.select("node", "signature"), "node").select("key", of_key.alias("k"), "node", "signature")
+    met = materialise(few.repartition("key").sortWithinPartitions("key").mapInArrow(run_pairs(least), "u long, v long"))
+    pairs = met.withColumn("own", F.lit(True))
+    if proposed is not None:
+        pairs = pairs.unionByName(materialise(proposed).withColumn("own", F.lit(False)))
+    long = company.filter(F.col("m") > pairs_up_to)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(long.select("node")).distinct()
+    sets = _sets_of(wanted, nodes, docs, shingle)
+    left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    alike = (F.size("a") + F.size("b") > 0) & (both / (F.size("a") + F.size("b") - both) >= similarity)
+    found = materialise(pairs.join(left, "u").join(right, "v").filter(alike).select("u", "v", "own"))
+    links = found.select("u", "v")
+    ends = found.filter("own").select(F.explode(F.array("u", "v")).alias("node"), F.lit(1).cast("long").alias("times"))
+    if not long.isEmpty():
+        parts = F.ceil(F.col("m") / block).cast("int")
+        dealt = long.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        dealt = dealt.select("key", of_key.alias("k"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node")
+        order = ["key", "k", "i", "j"]
+        rows = dealt.join(nodes.select("node", "signature").join(sets, "node"), "node").select(*order, "part", "node", "signature", "shingles")
+        found = materialise(rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(block_links(least, similarity), "u long, v long, n long"))
+        links = links.unionByName(found.filter("v IS NOT NULL").select("u", "v"))
+        ends = ends.unionByName(found.filter("v IS NULL").select(F.col("u").alias("node"), F.col("n").alias("times")))
+    return links, ends.groupBy("node").agg(F.sum("times").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pairs_up_to: int = PAIRS_UP_TO, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id, n_links), a row for each input row: documents linked at a
     Jaccard similarity of ``similarity`` or more, the smallest id of those reachable, and
     the number of links of the document's class of equal shingle sets.
 
-    Classes of equal sets are filed under each band of their signature. Rows of a band with
-    similar signatures are paired (in runs of more than ``PAIRS_UP_TO`` by a spanning
-    forest), and each pair's Jaccard similarity is then counted over its two shingle sets.
+    Every link is counted over the two shingle sets (``similar_nodes``).
     Rows of null doc_id form classes like others but name none; texts without words are
     one class."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    prints = materialise(slim.mapInArrow(_prints(shingle), "doc_id long, signature binary, shingles array<int>"))
-    keyed = prints.withColumn("node", F.xxhash64("shingles", F.size("shingles")))
-    nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
-    nodes = materialise(nodes)
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    filed = nodes.filter(F.size("shingles") > 0).select("node", "signature", band.alias("k"))
-    key = F.xxhash64("k", F.substring("signature", F.lit(1) + F.col("k") * 8, F.lit(8)))
-    runs = filed.select(key.alias("key"), "node", "signature").repartition("key").sortWithinPartitions("key", "node")
-    met = runs.mapInArrow(similar_runs(similarity - MARGIN, RUN_LIMIT, PAIRS_UP_TO), "u long, v long")
-    pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    sets = nodes.select("node", "shingles")
-    left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    links = materialise(
-        pairs.join(left, "u").join(right, "v").filter(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
-    )
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    prints, nodes = printed(docs, shingle, F.col("doc_id").cast("long").alias("doc_id"))
+    links, ends = similar_nodes(nodes, docs, shingle, similarity, pairs_up_to, block)
     roots = connected_components(links).withColumnRenamed("u", "node")
-    rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    rooted = materialise(firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     named = rooted.join(ids, "root").join(ends, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return keyed.select("doc_id", "node").join(named, "node").select("doc_id", "component_id", "n_links")
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id", "n_links")

@@ -121,3 +121,32 @@ def test_odd_rows(spark):
     got = sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect())
     assert got == ["1", "3", "7", "9", "None"]
     assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def edited(seed=5, copies=200):
+    """One base of 300 words with copies of 1 to 7 changed words, whose similarities to each
+    other lie on both sides of 0.8, and bases with a tail cut off, down to 0.8 and below."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    base = [word() for _ in range(300)]
+    texts = {0: " ".join(base)}
+    for k in range(1, copies + 1):
+        near = list(base)
+        for at in rng.sample(range(300), rng.randrange(1, 8)):
+            near[at] = word()
+        texts[k] = " ".join(near)
+    for g in range(60):
+        whole = [word() for _ in range(100)]
+        texts[1000 + 2 * g] = " ".join(whole)
+        texts[1001 + 2 * g] = " ".join(whole[: 76 + g % 20])
+    return texts
+
+
+def test_long_runs_lose_no_link(spark):
+    texts = edited()
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCS)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
+    assert {i for i, r in got.items() if r.component_id == i} == kept_by_all_pairs(texts, 0.8)
+    for i in texts:
+        assert got[i].n_links == sum(jaccard(sets[i], x) >= 0.8 for x in sets.values() if x != sets[i])
