@@ -37,7 +37,6 @@ from pyspark.sql import types as T
 from tessella.llm import minhash
 from tessella.llm.common import materialise
 from tessella.llm.components import connected_components
-from tessella.llm.sketches import similar_runs
 
 RADIUS = 4
 SEED = 42
@@ -247,12 +246,8 @@ def near_duplicates(
 
 #: What ``near_copies`` takes as near: Jaccard similarity of the sets of 5-word shingles.
 SIMILARITY = 0.8
-#: Differing bits of the fingerprints of word sets up to which similarity is looked at.
+#: Differing bits up to which fingerprints of word sets propose a pair, beside the bands.
 WORD_RADIUS = 8
-SKETCH = 256
-#: A sketch of 256 values has a standard error of 0.025 at 0.8.
-SLACK = 0.02
-GROUP_LIMIT = 4096
 _THIRDS = ((42, 22), (21, 21), (0, 21))  # (shift, width): any two within 8 bits are within 2 in one
 
 
@@ -268,20 +263,6 @@ def word_set_simhash(text: str | None) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(words)).tobytes(), "big")
 
 
-def _sketched(shingle: int):
-    empty = np.full(SKETCH, 0xFFFF, np.uint16)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            fps = np.array([word_set_simhash(t) for t in texts], np.uint64).view(np.int64)
-            sketches = [minhash.signature(t, shingle, SKETCH) for t in texts]
-            packed = [(empty if x is None else x).tobytes() for x in sketches]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(packed, pa.binary())], names=["doc_id", "fp", "sketch"])
-
-    return run
-
-
 def _word_files(distinct: DataFrame) -> DataFrame:
     """(key, fp): each third of the fingerprint under its own value and all one bit away."""
     rows = [
@@ -293,51 +274,61 @@ def _word_files(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp", F.explode(F.array(*rows)).alias("f")).select((value + F.shiftleft(F.col("f.s"), 32)).alias("key"), "fp")
 
 
-_NO_ID = -(1 << 63)
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, group_limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(sketches, kept): fp and sketch of every row, and the ids (``id``, a null doc_id being
-    the smallest long) of the smallest document of each group of near copies.
-
-    At a similarity of 0.8 two fingerprints over 5-word shingles differ in about 10 of 64
-    bits, which no index of small balls can look up: of such pairs in the generated tables
-    13 % are within 4 bits. Over the sets of words, the same pairs differ in 4 bits, and 99 %
-    are within ``WORD_RADIUS``. So the index files word-set fingerprints, all that it brings
-    together is compared over the whole fingerprint, and what is linked by that (loosely) is
-    then compared by sketches of its 5-word shingles; only links of enough similarity count.
-    Loose groups beyond ``group_limit`` are first dealt by bands of the sketch."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    prints = materialise(slim.mapInArrow(_sketched(shingle), "doc_id long, fp long, sketch binary"))
-    nodes = materialise(prints.groupBy("fp", "sketch").agg(F.coalesce(F.min("doc_id"), F.lit(_NO_ID)).alias("id")))
-    filed = _word_files(nodes.select("fp").distinct()).repartition("key").sortWithinPartitions("key")
-    loose = connected_components(filed.mapInArrow(_run_links(WORD_RADIUS, RUN_LIMIT, chain=True), "u long, v long"))
-    rooted = nodes.join(loose.withColumnRenamed("u", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "id", "sketch")
-    sizes = materialise(rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"))
-    company = materialise(rooted.join(sizes, "root").select("root", "n", "id", "sketch"))
-    band = F.explode(F.sequence(F.lit(0), F.lit(31)))
-    few = company.filter(F.col("n") <= group_limit).select(F.col("root").alias("key"), "id", "sketch")
-    many = company.filter(F.col("n") > group_limit).withColumn("k", band)
-    values = F.substring("sketch", F.lit(1) + F.col("k") * 8, F.lit(8))  # four values a band
-    many = many.select(F.xxhash64("root", "k", values).alias("key"), "id", "sketch")
-    sorted_runs = few.unionByName(many).repartition("key").sortWithinPartitions("key", "id")
-    links = sorted_runs.mapInArrow(similar_runs(similarity - SLACK, group_limit), "u long, v long")
-    copies = connected_components(links)
-    kept = nodes.select("id").distinct().join(copies.select(F.col("u").alias("id")), "id", "left_anti")
-    return prints, kept
+def _word_pairs(prints: DataFrame) -> DataFrame:
+    """(u, v): nodes of linked word-set fingerprints, by the first node of each, and each
+    node with the first of its own fingerprint."""
+    nodes = materialise(prints.select("node", "fp").distinct())
+    firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    filed = _word_files(firsts.select("fp")).repartition("key").sortWithinPartitions("key")
+    met = materialise(filed.mapInArrow(_run_links(WORD_RADIUS, RUN_LIMIT, chain=True), "u long, v long").filter("u <> v").distinct())
+    named = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_"))
+    linked = met.join(named("u"), "u").join(named("v"), "v").select(F.col("u_").alias("u"), F.col("v_").alias("v"))
+    own = nodes.join(firsts, "fp").filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    return linked.unionByName(own)
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, group_limit: int = minhash.BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(prints, kept): id, text hash ``h`` and length ``n`` of every row, and of the smallest
+    document of each group of near copies (by id, a null doc_id being the smallest long).
+
+    Pairs are proposed by fingerprints over the sets of words within ``WORD_RADIUS`` bits and
+    by the bands of 5-word signatures (``minhash.similar_nodes``), which miss a pair at 0.8
+    once in 2e7; a pair is a link if the Jaccard similarity of its two sets of shingles,
+    counted, is at least ``similarity``. Runs of a band beyond ``group_limit`` are compared
+    part by part."""
+    prints, nodes = minhash.printed(docs, shingle, fingerprint=word_set_simhash)
+    up_to = min(minhash.PAIRS_UP_TO, group_limit)
+    links, _ = minhash.similar_nodes(nodes, docs, shingle, similarity, up_to, group_limit, _word_pairs(prints))
+    roots = connected_components(links).withColumnRenamed("u", "node")
+    kept = nodes.select("node", "row").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
+    return prints.select("id", "h", "n"), materialise(kept.select("row.*"))
+
+
+def _one_each(docs: DataFrame, keys: list[Column]) -> DataFrame:
+    """One of the rows that share the keys."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = docs.select(*[k.alias(n) for k, n in zip(keys, names)], row)
+    return rows.groupBy(*names).agg(F.first("row").alias("row")).select("row.*")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without all but one document of each group of near copies: the one of the
-    smallest doc_id stays. Columns are unchanged. doc_id identifies a document: of rows
-    that share one (null included) a single row stays."""
+def keep_documents(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without all but one row of each group of near copies: one of the smallest
+    doc_id stays. Columns are unchanged. Rows are told apart by doc_id and text, so rows of a
+    repeated or null doc_id stay if their texts are no near copies."""
     prints, kept = near_copies(docs, shingle, similarity)
-    own = F.coalesce(F.col("d.doc_id").cast("long"), F.lit(_NO_ID))
-    left = docs.alias("d").join(kept.alias("k"), own == F.col("k.id"), "left_semi")
-    if prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return left.select("doc_id", row).groupBy("doc_id").agg(F.first("row").alias("row")).select("row.*")
+    id_, h, n = minhash.row_key("d.")
+    same = (id_ == F.col("k.id")) & (h == F.col("k.h")) & (n == F.col("k.n"))
+    left = docs.alias("d").join(kept.alias("k"), same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if prints.groupBy("id", "h", "n").count().filter("count > 1").isEmpty():
+        return left
+    return _one_each(left, minhash.row_key())
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``keep_documents`` where doc_id identifies a document: of what stays, one row of each
+    doc_id (null included)."""
+    return _one_each(keep_documents(docs, shingle, similarity), [F.col("doc_id")])
 
 
 def as_hex(fp: Column) -> Column:

@@ -150,3 +150,11 @@ def test_long_runs_lose_no_link(spark):
     assert {i for i, r in got.items() if r.component_id == i} == kept_by_all_pairs(texts, 0.8)
     for i in texts:
         assert got[i].n_links == sum(jaccard(sets[i], x) >= 0.8 for x in sets.values() if x != sets[i])
+
+
+def test_cut_texts_are_near_copies(spark):
+    """Texts whose end is cut off change their word set as much as their shingles."""
+    texts = {i: t for i, t in edited().items() if i >= 1000}
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCS)
+    _, kept = simhash.near_copies(docs)
+    assert {r.id for r in kept.collect()} <= kept_by_all_pairs(texts, 0.8)
