@@ -134,56 +134,3 @@ def block_links(least: float, similarity: float):
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), v, n], names=["u", "v", "n"])
 
     return run
-
-
-def similar_runs(least: float, limit: int, pairs_up_to: int = 0):
-    """Over rows (key, id, sketch) sorted by key: links (u, v) of similar rows of each run: all
-    of them in runs of at most ``pairs_up_to``, a spanning forest in longer ones. A run longer
-    than ``limit`` is taken in parts, each with the first members of the run, and each with
-    the last of the part before."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def links(ids: list[int], sketches: list[bytes]) -> tuple[list[int], list[int]]:
-        near = alike(np.frombuffer(b"".join(sketches), np.uint16).reshape(len(ids), -1), least)
-        if len(ids) <= pairs_up_to:
-            a, b = np.nonzero(np.triu(near, 1))
-            return [ids[i] for i in a], [ids[i] for i in b]
-        label = np.arange(len(ids))
-        while True:
-            new = np.where(near, label[None, :], len(ids)).min(axis=1)
-            new = np.minimum(new, new[new])
-            if (new == label).all():
-                break
-            label = new
-        moved = np.flatnonzero(label != np.arange(len(ids)))
-        return [ids[i] for i in moved], [ids[i] for i in label[moved]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sketches = None, [], []
-        u: list[int] = []
-        v: list[int] = []
-
-        def close() -> None:
-            if len(ids) > 1:
-                a, b = links(ids, sketches)
-                u.extend(a)
-                v.extend(b)
-
-        for batch in batches:
-            for k, i, x in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if k != key:
-                    close()
-                    key, ids, sketches = k, [], []
-                ids.append(i)
-                sketches.append(x)
-                if len(ids) >= limit:
-                    close()
-                    held = [*range(16), *range(limit - 16, limit)] if limit > 64 else [0, limit - 1]
-                    ids, sketches = [ids[h] for h in held], [sketches[h] for h in held]
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
-                u, v = [], []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
-
-    return run

@@ -158,3 +158,14 @@ def test_cut_texts_are_near_copies(spark):
     docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCS)
     _, kept = simhash.near_copies(docs)
     assert {r.id for r in kept.collect()} <= kept_by_all_pairs(texts, 0.8)
+
+
+def test_parts_of_long_runs_meet(spark):
+    """Pairs in different parts of a run beyond the limit are compared as well."""
+    texts = edited(copies=100)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCS)
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs, pairs_up_to=8, block=16).collect()}
+    assert {i for i, r in got.items() if r.component_id == i} == kept_by_all_pairs(texts, 0.8)
+    for i in texts:
+        assert got[i].n_links == sum(jaccard(sets[i], x) >= 0.8 for x in sets.values() if x != sets[i])
