@@ -169,3 +169,11 @@ def test_parts_of_long_runs_meet(spark):
     assert {i for i, r in got.items() if r.component_id == i} == kept_by_all_pairs(texts, 0.8)
     for i in texts:
         assert got[i].n_links == sum(jaccard(sets[i], x) >= 0.8 for x in sets.values() if x != sets[i])
+
+
+def test_similarity_is_counted(spark):
+    """What is at 0.8 or just above goes, what is just below stays."""
+    texts = edited()
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCS)
+    _, kept = simhash.near_copies(docs)
+    assert {r.id for r in kept.collect()} == kept_by_all_pairs(texts, 0.8)
