@@ -20,8 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each SimHash near-duplicate group."""
-    return simhash.keep_one(docs)
+    """One document, of the smallest id, of each group of near copies."""
+    return simhash.keep_documents(docs)
 
 
 def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,3 +177,11 @@ def test_similarity_is_counted(spark):
     docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in texts.items()], DOCS)
     _, kept = simhash.near_copies(docs)
     assert {r.id for r in kept.collect()} == kept_by_all_pairs(texts, 0.8)
+
+
+def test_stage_keeps_distinct_rows_of_one_id(spark):
+    rows = [(None, "x y z"), (None, "other text"), (None, "other  text"), (9, "same id"), (9, "same id"), (9, "not the same"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    got = simhash.keep_documents(docs).collect()
+    near = sorted((str(r.doc_id), " ".join((r.text or "").split())) for r in got)
+    assert near == [("3", ""), ("9", "not the same"), ("9", "same id"), ("None", "other text"), ("None", "x y z")]
