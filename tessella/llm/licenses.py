@@ -88,7 +88,10 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     ),
     "unlicense": ("This is free and unencumbered software released into the public domain.",),
-    "reserved": ("All rights reserved. No part of this publication may be reproduced without permission.",),
+    "reserved": (
+        "All rights reserved.",
+        "All rights reserved. No part of this publication may be reproduced without permission.",
+    ),
 }
 
 #: Sentences that are no licence, some with its words.

@@ -67,3 +67,11 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = queries.op3_licenses(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_short_reserved_notice(spark, sf):
+    line = "All rights reserved."
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{larger(sf)}/documents.parquet").collect()]
+    planted = {(i, k, "reserved") for i, t in docs for k, x in enumerate((t or "").split("\n")) if x == line}
+    assert planted and planted <= {(r.doc_id, r.paragraph, r.family) for r in queries.op3_licenses(spark, larger(sf)).collect()}
+    assert licenses.classifier().judge("All rights of way in the valley are marked on the map.") is None
