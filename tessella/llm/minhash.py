@@ -157,7 +157,7 @@ def _set(text: str, shingle: int) -> np.ndarray:
 
 def _prints(shingle: int, fingerprint: Callable[[str], int] | None):
     """Over rows (..., text): the columns before the text, signature, node and size of the set,
-    and the text's unsigned 64-bit fingerprint by the function given."""
+    and the bits of the text's 64-bit fingerprint by the function given."""
     a, b = _family(PERMUTATIONS)
 
     def of(text: str) -> tuple[bytes, int, int, int]:
@@ -191,8 +191,8 @@ def _sets(shingle: int):
 
 
 def row_key(of: str = "") -> list[Column]:
-    """id, h, n: a row's doc_id (null is the smallest long), text hash and text length."""
-    own, text = F.coalesce(F.col(f"{of}doc_id").cast("long"), F.lit(-(1 << 63))), F.col(f"{of}text")
+    """id, h, n: a row's doc_id (null is the largest long), text hash and text length."""
+    own, text = F.coalesce(F.col(f"{of}doc_id").cast("long"), F.lit((1 << 63) - 1)), F.col(f"{of}text")
     return [own.alias("id"), F.xxhash64(text).alias("h"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("n")]
 
 
@@ -265,6 +265,23 @@ def similar_nodes(
     return links, ends.groupBy("node").agg(F.sum("times").alias("n_links"))
 
 
+def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of all ``nodes``: the smallest node reachable over links."""
+    roots = connected_components(links).withColumnRenamed("u", "node")
+    return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def clusters(docs: DataFrame, *more: Column, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``more`` columns of every row of ``docs`` and ``cluster``, a long that rows share if
+    they are linked, over any number of documents, at that Jaccard similarity."""
+    prints, nodes = printed(docs, shingle, *more)
+    links, _ = similar_nodes(nodes, docs, shingle, similarity)
+    kept = prints.columns[3 : 3 + len(more)]
+    # both sides are shuffled for this join alone, so that a hot class can be split
+    named = materialise(rooted(nodes, links).withColumnRenamed("root", "cluster"))
+    return prints.select("node", *kept).join(named, "node").select(*kept, "cluster")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pairs_up_to: int = PAIRS_UP_TO, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id, n_links), a row for each input row: documents linked at a
     Jaccard similarity of ``similarity`` or more, the smallest id of those reachable, and
@@ -275,9 +292,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     one class."""
     prints, nodes = printed(docs, shingle, F.col("doc_id").cast("long").alias("doc_id"))
     links, ends = similar_nodes(nodes, docs, shingle, similarity, pairs_up_to, block)
-    roots = connected_components(links).withColumnRenamed("u", "node")
     firsts = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    rooted = materialise(firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    ids = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = rooted.join(ids, "root").join(ends, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = materialise(firsts.join(rooted(nodes, links), "node"))
+    ids = materialise(classes.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    named = classes.join(ids, "root").join(ends, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id", "n_links")

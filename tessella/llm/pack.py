@@ -2,12 +2,13 @@
 
 A document longer than a bin is cut into full pieces and a rest. Pieces are dealt by
 hash into shards of about ``SHARD`` pieces, each packed on its own, so that no task
-sees more whatever the input; which pieces share a shard depends on ids and the number
-of shards alone. Within a shard pieces come largest first. Open bins stand in order of
-what they have left; each carries a bitmap of the sources and one of the duplicate
-clusters inside. For a piece the search starts at the first bin with room and goes on
-to its successors until one holds neither the piece's source nor its cluster: the
-tightest compatible bin. If none does, a bin is opened.
+sees more whatever the input; which pieces share a shard depends on the rows and the
+number of shards alone. Rows that are alike in everything are counted first and dealt
+copy by copy, so no repeated or null id meets in one shard. Within a shard pieces come
+largest first. Open bins stand in order of what they have left; each carries a bitmap of
+the sources and one of the duplicate clusters inside. For a piece the search starts at
+the first bin with room and goes on to its successors until one holds neither the piece's
+source nor its cluster: the tightest compatible bin. If none does, a bin is opened.
 
 Rows: a null or negative size counts as 0, and such pieces are packed as well; a null
 source or cluster conflicts with nothing; repeated rows are packed one by one; a null
@@ -20,14 +21,17 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm import simhash, tokens
 from tessella.llm.common import materialise
 
 CAPACITY = 2048
 SHARD = 4096
+#: Copies of one row that a task deals at most.
+COPIES = 1 << 20
 
 _OUT = "doc_id long, piece long, start long, size long, bin string, bin_used long, bin_pieces long"
 
@@ -66,45 +70,66 @@ def best_fit(items: Iterable[tuple[int, object, object]], capacity: int) -> list
     return out
 
 
-def pieces(sized: DataFrame, capacity: int) -> DataFrame:
-    """(doc_id, piece, start, size, source, cluster): cuts at multiples of ``capacity``."""
+def _dealt(sized: DataFrame, capacity: int, shard: int) -> DataFrame:
+    """(doc_id, piece, start, size, source, cluster, shard): cuts at multiples of ``capacity``."""
     size = F.greatest(F.coalesce(F.col("size"), F.lit(0)).cast("long"), F.lit(0).cast("long"))
-    count = F.greatest(F.ceil(size / capacity), F.lit(1))
+    own = [F.col("doc_id").cast("long").alias("doc_id"), size.alias("whole"), F.col("source"), F.col("cluster")]
+    alike = materialise(sized.select(*own).groupBy("doc_id", "whole", "source", "cluster").agg(F.count("*").alias("copies")))
+    count = F.greatest(F.ceil(F.col("whole") / capacity), F.lit(1))
+    total, most = alike.agg(F.sum(F.col("copies") * count), F.max("copies")).first()
+    first = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))
+    some = alike.withColumn("from", F.explode(first))
+    if (most or 0) > COPIES:
+        some = some.repartition("doc_id", "whole", "source", "cluster", "from")
+    last = F.least(F.col("from") + COPIES, F.col("copies")) - 1
+    cut = some.withColumn("copy", F.explode(F.sequence(F.col("from"), last))).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
     start = F.col("piece") * capacity
-    return (
-        sized.withColumn("size", size)
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-        .select("doc_id", "piece", start.alias("start"), F.least(F.col("size") - start, F.lit(capacity)).alias("size"), "source", "cluster")
-    )
+    key = F.xxhash64("doc_id", "piece", "whole", "source", "cluster", "copy")
+    return cut.select(
+        "doc_id", "piece", start.alias("start"), F.least(F.col("whole") - start, F.lit(capacity)).alias("size"), "source", "cluster",
+        F.pmod(key, F.lit(max(1, -(-(total or 0) // shard)))).alias("shard"),
+    )
+
+
+def _order(row: tuple) -> tuple:
+    doc_id, piece, _, size, source, cluster, _ = row
+    nulls = lambda x: (x is not None, 0 if x is None else x)
+    return (-size, nulls(doc_id), piece, nulls(source), nulls(cluster))
 
 
 def pack(sized: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """``sized`` (doc_id, size, source, cluster) → one row per piece, with its bin, what
     the bin holds in all and of how many pieces."""
-    cut = pieces(materialise(sized.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source", "cluster")), capacity)
-    shards = max(1, -(-cut.count() // shard))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "doc_id", "piece"], ascending=[False, True, True], na_position="first", kind="stable")
-        known = lambda c: [None if pd.isna(x) else x for x in group[c]]
-        number = best_fit(zip(group["size"].tolist(), known("source"), known("cluster")), capacity)
-        group = group.assign(number=number)
-        by = group.groupby("number")["size"]
-        return pd.DataFrame({
-            "doc_id": group.doc_id, "piece": group.piece, "start": group.start, "size": group["size"],
-            "bin": [f"{s}-{n}" for s, n in zip(group.shard, number)], "bin_used": by.transform("sum"), "bin_pieces": by.transform("count"),
-        })
-
-    return dealt.groupBy("shard").applyInPandas(one, _OUT)
-
-
-def sized_by_words(docs: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
-    """(doc_id, size, source, cluster) of ``documents``. ``clusters`` (doc_id, cluster) names
-    each document's duplicate cluster; without it equal texts are a cluster."""
-    own = F.xxhash64("text") if clusters is None else F.lit(None).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"), "source", own.alias("cluster"))
-    if clusters is None:
-        return sized
-    named = clusters.groupBy("doc_id").agg(F.min("cluster").alias("cluster"))
-    return sized.drop("cluster").join(named, "doc_id", "left").select("doc_id", "size", "source", "cluster")
+
+    def one(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(c.to_pylist() for c in group.columns)), key=_order)
+        number = best_fit(((r[3], r[4], r[5]) for r in rows), capacity)
+        used, held = Counter(), Counter(number)
+        for r, n in zip(rows, number):
+            used[n] += r[3]
+        made = [
+            *([r[k] for r in rows] for k in range(4)),
+            [f"{r[6]}-{n}" for r, n in zip(rows, number)], [used[n] for n in number], [held[n] for n in number],
+        ]
+        types = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(made, types)], names=[f.split()[0] for f in _OUT.split(", ")])
+
+    return _dealt(sized, capacity, shard).groupBy("shard").applyInArrow(one, _OUT)
+
+
+def sized_by_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, size in words, source, cluster) of ``documents``; equal texts are a cluster."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"), "source", F.xxhash64("text").alias("cluster"))
+
+
+def sized_by_tokens(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, shingle: int = 5) -> DataFrame:
+    """(doc_id, size in tokens, source, cluster) of ``documents``, clusters being those of
+    SimHash fingerprints within ``simhash.RADIUS`` bits. Texts are read once."""
+    text = F.col("text")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), tokens.token_count(F.coalesce(text, F.lit("")), vocabulary).alias("size"), "source",
+        simhash.fingerprint_column(text, shingle).alias("fp"),
+    )
+    rows = materialise(rows)
+    named = materialise(simhash.classes(rows).withColumnRenamed("root", "cluster"))
+    return rows.join(named, "fp").select("doc_id", "size", "source", "cluster")

@@ -18,9 +18,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    clusters = simhash.near_duplicates(docs).select("doc_id", F.col("component_id").alias("cluster"))
-    return pack.pack(pack.sized_by_words(docs, clusters))
+    own = [F.col("doc_id"), pack.word_count(F.col("text")).alias("words"), F.col("source")]
+    sized = minhash.clusters(table(spark, sf_dir, "documents"), *own)
+    return pack.pack(sized.withColumnRenamed("words", "size"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

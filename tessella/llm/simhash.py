@@ -12,9 +12,9 @@ Whatever shares a file is compared over all 64 bits.
 Only distinct fingerprints are filed, so exact copies cost one entry. A file is
 read as a sorted run and answers with the links of a spanning forest, never with
 all pairs. Runs beyond ``RUN_LIMIT`` entries are not compared pairwise at all: their
-members are filed once more under all values within ``RADIUS / 2`` bits of the whole
-fingerprint, where any two that meet are linked, and each file of that kind gives
-one star. That is exact as well, and linear in the members.
+members are filed once more under all values within half the radius, rounded up, of the
+whole fingerprint, and linked there to the smallest of those within half the radius,
+rounded down: one star a file. That is exact as well, and linear in the members.
 
 Rows: null text counts as empty, empty text (no words) has fingerprint zero and is
 linked like any other; repeated rows each keep their row; a null doc_id never names
@@ -117,18 +117,14 @@ def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return values[moved], values[label[moved]]
 
 
-def _run_links(radius: int, limit: int, chain: bool = False):
+def _run_links(radius: int, limit: int):
     """Over rows sorted by key: links found within each run of one key; for runs longer
-    than ``limit`` rows (fp, null), or with ``chain`` links of all to the run's first row.
-    Holds one batch and at most ``limit`` rows of a run."""
+    than ``limit`` rows (fp, null). Holds one batch and at most ``limit`` rows of a run."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def close(run: list[np.ndarray], over: bool, out_u: list, out_v: list, marks: list) -> None:
         values = np.unique(np.concatenate(run))
-        if over and chain:
-            out_u.append(values)
-            out_v.append(np.full(len(values), run[0][0]))
-        elif over:
+        if over:
             marks.append(values)
         elif len(values) > 1:
             u, v = forest(values.view(np.uint64), radius)
@@ -209,13 +205,19 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, run_limit: int
     if found.filter("v IS NULL").isEmpty():
         return close
     hot = found.filter("v IS NULL").select(F.col("u").alias("fp")).distinct()
-    if radius % 2:
-        raise ValueError("runs beyond the limit need an even radius")
-    near = hot.select(
-        "fp", F.explode(F.array(*map(F.lit, _ball(radius // 2)))).alias("mask")
-    ).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "fp")
-    stars = near.groupBy("key").agg(F.min("fp").alias("v"))
-    return close.unionByName(near.join(stars, "key").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct())
+    reach = lambda bits: hot.select(F.col("fp"), F.explode(F.array(*map(F.lit, _ball(bits)))).alias("mask")).select(
+        F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "fp"
+    )
+    stars = reach(radius // 2).groupBy("key").agg(F.min("fp").alias("v"))
+    met = reach((radius + 1) // 2).join(stars, "key").filter("fp <> v")
+    return close.unionByName(met.select(F.col("fp").alias("u"), "v").distinct())
+
+
+def classes(prints: DataFrame, radius: int = RADIUS, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """(fp, root) of every distinct fingerprint in ``prints``: the smallest one reachable."""
+    distinct = materialise(prints.select("fp").distinct())
+    roots = connected_components(fingerprint_links(distinct, radius, run_limit))
+    return distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(
@@ -231,76 +233,52 @@ def near_duplicates(
     prints = materialise(
         docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp"))
     )
-    named = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(fingerprint_links(named.select("fp"), radius, run_limit))
-    rooted = named.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    rooted = materialise(firsts.join(classes(prints, radius, run_limit), "fp"))
     # written out, so that the join shuffles both sides and a large group can be split
     ids = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    classes = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 # -- near copies by shingle similarity ------------------------------------------------
 
 #: What ``near_copies`` takes as near: Jaccard similarity of the sets of 5-word shingles.
 SIMILARITY = 0.8
-#: Differing bits up to which fingerprints of word sets propose a pair, beside the bands.
-WORD_RADIUS = 8
-_THIRDS = ((42, 22), (21, 21), (0, 21))  # (shift, width): any two within 8 bits are within 2 in one
 
 
-def word_set_simhash(text: str | None) -> int:
-    """Unsigned 64-bit fingerprint over the distinct words: one vote each."""
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    if not words:
-        return 0
-    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype=">u8")
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), _BLOCK):
-        counts += np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(words)).tobytes(), "big")
-
-
-def _word_files(distinct: DataFrame) -> DataFrame:
-    """(key, fp): each third of the fingerprint under its own value and all one bit away."""
-    rows = [
-        F.struct(F.lit(k).cast("long").alias("s"), F.lit(shift).alias("a"), F.lit((1 << width) - 1).cast("long").alias("m"), F.lit(bit).cast("long").alias("b"))
-        for k, (shift, width) in enumerate(_THIRDS)
-        for bit in [0, *(1 << i for i in range(width))]
-    ]
-    value = F.expr("shiftrightunsigned(fp, f.a)").bitwiseAND(F.col("f.m")).bitwiseXOR(F.col("f.b"))
-    return distinct.select("fp", F.explode(F.array(*rows)).alias("f")).select((value + F.shiftleft(F.col("f.s"), 32)).alias("key"), "fp")
-
-
-def _word_pairs(prints: DataFrame) -> DataFrame:
-    """(u, v): nodes of linked word-set fingerprints, by the first node of each, and each
-    node with the first of its own fingerprint."""
+def _proposed(prints: DataFrame, radius: int, run_limit: int) -> DataFrame:
+    """(u, v): nodes of linked fingerprints, by the first node of each, and each node with the
+    first of its own fingerprint."""
     nodes = materialise(prints.select("node", "fp").distinct())
     firsts = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    filed = _word_files(firsts.select("fp")).repartition("key").sortWithinPartitions("key")
-    met = materialise(filed.mapInArrow(_run_links(WORD_RADIUS, RUN_LIMIT, chain=True), "u long, v long").filter("u <> v").distinct())
+    met = fingerprint_links(firsts.select("fp"), radius, run_limit)
     named = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_"))
     linked = met.join(named("u"), "u").join(named("v"), "v").select(F.col("u_").alias("u"), F.col("v_").alias("v"))
     own = nodes.join(firsts, "fp").filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    return linked.unionByName(own)
+    return linked.unionByName(own).filter("u <> v").distinct()
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, group_limit: int = minhash.BLOCK) -> tuple[DataFrame, DataFrame]:
+def near_copies(
+    docs: DataFrame,
+    shingle: int = 5,
+    similarity: float = SIMILARITY,
+    group_limit: int = minhash.BLOCK,
+    radius: int = RADIUS,
+    run_limit: int = RUN_LIMIT,
+) -> tuple[DataFrame, DataFrame]:
     """(prints, kept): id, text hash ``h`` and length ``n`` of every row, and of the smallest
-    document of each group of near copies (by id, a null doc_id being the smallest long).
-
-    Pairs are proposed by fingerprints over the sets of words within ``WORD_RADIUS`` bits and
-    by the bands of 5-word signatures (``minhash.similar_nodes``), which miss a pair at 0.8
-    once in 2e7; a pair is a link if the Jaccard similarity of its two sets of shingles,
-    counted, is at least ``similarity``. Runs of a band beyond ``group_limit`` are compared
-    part by part."""
-    prints, nodes = minhash.printed(docs, shingle, fingerprint=word_set_simhash)
+    document of each group of near copies (by id, a null doc_id being the largest long).
+
+    Pairs are proposed by SimHash, over the multi-index of ``fingerprint_links``, and, as
+    most pairs at 0.8 lie beyond any radius that small balls reach, by the bands of MinHash
+    signatures as well (``minhash.similar_nodes``), which miss a pair at 0.8 once in 2e7. A
+    pair is a link if the Jaccard similarity of its two sets of shingles, counted, is at
+    least ``similarity``. Runs of a band beyond ``group_limit`` are compared part by part."""
+    prints, nodes = minhash.printed(docs, shingle, fingerprint=lambda text: simhash(text, shingle))
     up_to = min(minhash.PAIRS_UP_TO, group_limit)
-    links, _ = minhash.similar_nodes(nodes, docs, shingle, similarity, up_to, group_limit, _word_pairs(prints))
-    roots = connected_components(links).withColumnRenamed("u", "node")
-    kept = nodes.select("node", "row").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
+    links, _ = minhash.similar_nodes(nodes, docs, shingle, similarity, up_to, group_limit, _proposed(prints, radius, run_limit))
+    kept = minhash.rooted(nodes, links).join(nodes.select("node", "row"), "node").groupBy("root").agg(F.min("row").alias("row"))
     return prints.select("id", "h", "n"), materialise(kept.select("row.*"))
 
 

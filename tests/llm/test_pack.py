@@ -1,7 +1,8 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
-from tessella.llm import pack, queries
+from tessella.llm import minhash, pack, queries, simhash
+from tests.llm.test_near_copies import jaccard, shingles
 
 SIZED = "doc_id long, size long, source string, cluster long, bin int"
 
@@ -51,11 +52,29 @@ def test_best_fit_equals_brute_force():
         assert pack.best_fit(items, 100) == plain_best_fit(items, 100)
 
 
+def by_shard(rows):
+    return Counter(r.bin.split("-")[0] for r in rows)
+
+
+def clusters_by_all_pairs(texts, least=0.8):
+    """{id: text} → the smallest id reachable over pairs of at least that similarity."""
+    ids = sorted(texts)
+    sets = {i: shingles(texts[i]) for i in ids}
+    out = {i: i for i in ids}
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            if out[a] != out[b] and jaccard(sets[a], sets[b]) >= least:
+                low, high = sorted((out[a], out[b]))
+                out = {i: low if r == high else r for i, r in out.items()}
+    return out
+
+
 def test_query_packs_every_word(spark, sf):
     rows = queries.op2_packing(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     sizes = {d.doc_id: len((d.text or "").encode().split()) for d in docs}
-    clusters = {r.doc_id: r.component_id for r in queries.simhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    clusters = clusters_by_all_pairs({d.doc_id: d.text for d in docs})
+    assert len(set(clusters.values())) < len(docs)
     check(rows, sizes, {d.doc_id: (d.source, clusters[d.doc_id]) for d in docs}, 2048)
     # one shard here: the same bins as a plain best fit over the pieces in order
     order = sorted(rows, key=lambda r: (-r.size, r.doc_id, r.piece))
@@ -64,6 +83,45 @@ def test_query_packs_every_word(spark, sf):
     assert [int(r.bin.split("-")[1]) for r in order] == want
 
 
+def test_tokens_and_clusters_of_the_pipeline(spark, sf):
+    """Sizes are the vocabulary's tokens; documents within 4 bits of SimHash never share a bin."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sizes = {r.doc_id: r.n_tokens for r in queries.op4_tokens(spark, sf).collect()}
+    found = {r.doc_id: (r.source, r.cluster, r["size"]) for r in pack.sized_by_tokens(docs).collect()}
+    assert {i: x[2] for i, x in found.items()} == sizes
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    pairs = {(near[i], found[i][1]) for i in near}
+    assert len(pairs) == len(set(near.values())) == len({x[1] for x in found.values()}) < len(near)
+    check(pack.pack(pack.sized_by_tokens(docs)).collect(), sizes, {i: x[:2] for i, x in found.items()}, 2048)
+
+
+def test_null_and_repeated_ids_are_dealt(spark):
+    """Neither one id nor one row is a shard, and copies of a null id are still copies."""
+    sized = spark.range(20_000).selectExpr("cast(null as long) doc_id", "id % 90 size", "cast(id % 500 as string) source", "id cluster", "0 bin")
+    alike = spark.range(20_000).selectExpr("7L doc_id", "5L size", "cast(null as string) source", "cast(null as long) cluster", "0 bin")
+    for rows in (sized, alike):
+        shards = [*by_shard(pack.pack(rows, capacity=100, shard=4000).collect()).values()]
+        assert len(shards) == 5 and sum(shards) == 20_000 and max(shards) < 5000
+    text = " ".join(f"w{k}" for k in range(50))
+    docs = spark.createDataFrame([(None, text, "a"), (None, text, "b"), (None, text + " more", "c"), (3, "x", "d")], "doc_id long, text string, source string")
+    sized = minhash.clusters(docs, docs.doc_id, pack.word_count(docs.text).alias("words"), docs.source).withColumnRenamed("words", "size")
+    bins = pack.pack(sized).collect()
+    assert len({r.bin for r in bins if r.doc_id is None}) == 3 and len(bins) == 4
+
+
+def test_copies_in_goes(spark, monkeypatch):
+    """Many copies of a row are dealt by several tasks, with the same bins."""
+    rows = spark.range(50).selectExpr("1L doc_id", "30L size", "cast(null as string) source", "cast(null as long) cluster", "0 bin")
+    want = sorted(map(str, pack.pack(rows, capacity=100, shard=20).collect()))
+    monkeypatch.setattr(pack, "COPIES", 7)
+    assert sorted(map(str, pack.pack(rows, capacity=100, shard=20).collect())) == want and len(want) == 50
+
+
+def test_large_ids_beside_nulls(spark):
+    rows = [((1 << 60) + k, 10, None, None, 0) for k in range(20)] + [(None, 10, None, None, 0)]
+    assert {r.doc_id for r in pack.pack(spark.createDataFrame(rows, SIZED)).collect()} == {r[0] for r in rows}
+
+
 def test_odd_rows_and_shards(spark):
     rows = [(1, None, None, None), (2, -5, "a", 1), (None, 7, "a", None), (3, 0, "a", 1), (4, 10_001, "b", 2), (5, 5, None, 2), (5, 5, None, 2)]
     rows += [(100 + k, k % 90, "hot" if k % 3 else f"s{k % 11}", k // 40) for k in range(800)]
