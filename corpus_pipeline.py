@@ -30,8 +30,9 @@ def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document, with its bin."""
-    return pack.pack(pack.sized_by_words(docs))
+    """A row for each piece of each document, with its bin; sizes are tokens, and what is
+    alike by SimHash, though not a near copy, is kept apart."""
+    return pack.pack(pack.sized_by_tokens(docs))
 
 
 STAGES = [
