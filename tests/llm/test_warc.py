@@ -60,6 +60,45 @@ def test_odd_rows_equal_brute_force(spark, tmp_path, least):
         assert one.startswith(b"WARC/1.1\r\n")
 
 
+def records_of(folder):
+    """[(WARC-Type, WARC-Record-ID, WARC-Refers-To)] of each file."""
+    out = []
+    for f in sorted(glob.glob(f"{folder}/part-*.warc.zst")):
+        heads = [dict(x.split(": ", 1) for x in raw.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for raw in warc.frames(open(f, "rb").read())]
+        out.append([(h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Refers-To")) for h in heads])
+    return out
+
+
+@pytest.mark.parametrize("file_bytes", [200, 3000, 1 << 30])
+def test_many_files_a_task(spark, tmp_path, file_bytes):
+    """Files roll by our count of records, whatever the session asks for; ids are unique."""
+    html = lambda k: f"<html><body><p>page {k % 70} of many</p></body></html>"
+    rows = [(k, f"http://h/{k}", html(k)) for k in range(150)] + [(3, "http://h/3", html(3)), (3, "http://h/3", html(3)), (90, "u", html(90)), (None, "n", html(1)), (None, "n", "only")]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], PAGES)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "20")
+    try:
+        assert sorted(map(tuple, warc.round_trip(pages).collect()), key=str) == plain(rows)
+        warc.archive(pages, f"file://{tmp_path}/out", file_bytes=file_bytes)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    got = records_of(f"{tmp_path}/out")
+    assert all([k for k, r in enumerate(f) if r[0] == "warcinfo"] == [0] for f in got)
+    assert len(got) > (30 if file_bytes == 200 else 2 if file_bytes == 3000 else 0)
+    every = [r for f in got for r in f if r[0] != "warcinfo"]
+    assert len(every) == len(rows) and len({r[1] for r in every}) == len(rows)
+    responses = {r[1].split("#")[0].rstrip(">") for r in every if r[0] == "response"}
+    assert all(r[2].rstrip(">") in responses for r in every if r[0] == "revisit")
+    assert sorted(map(tuple, warc.read_archives(spark, f"file://{tmp_path}/out", ["page_id", "record_type"]).collect()), key=str) == sorted(((r[0], r[3]) for r in plain(rows)), key=str)
+
+
+def test_nothing_is_left_when_reading_fails(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "scratch_dir", lambda _: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(warc, "read_archives", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        warc.round_trip(spark.createDataFrame([(1, "u", "x", "", 0)], PAGES))
+    assert not glob.glob(f"{tmp_path}/shared/warc-*")
+
+
 def test_few_and_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
     one = warc.round_trip(spark.createDataFrame([(1, "u", "x", "", 0)], PAGES)).collect()
