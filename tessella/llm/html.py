@@ -6,11 +6,13 @@ sidebars, notices, adverts, forms, scripts, styles or reader comments give no li
 
 Plain differencing, which deletes every line that a page shares with its neighbour,
 cannot give right results alone: mirrored articles, quoted passages and common headings
-are shared as well, and pages without a neighbour keep their menus. So lines inside
-article or main elements are kept as they are, and where a page has such an element the
-rest goes. A page without one is aligned, by a longest common subsequence of lines, with
-its neighbour: the next page of the same host in order of URL path, or the one before
-for a host's last page. Lines they share go, unless that were all of them.
+are shared as well, and pages without a neighbour keep their menus. So where a page has an
+article or main element the rest goes, and lines inside are kept, but for those that
+structure leaves in doubt: of an element whose class or id has a word such as "share" or
+"notice" among others or alone. In a page without such an element every line is in doubt.
+Pages are aligned, by a longest common subsequence of lines, with their neighbour: the next
+page of the same host in order of URL path, or the one before for a host's last page.
+Lines in doubt that they share go, unless no line were left.
 
 Pages are shuffled once, into ranges of (host, path, page_id). No range starts with a
 host's last page, so every page meets its neighbour in one task, and a host of any size
@@ -51,6 +53,11 @@ NOT_ARTICLE = frozenset(
     "subscribe subscription signup login popup modal overlay paywall skip pagination pager contentinfo complementary search "
     "searchbox toolbar widget copyright".split()
 )
+#: Words that, beside one of ``NOT_ARTICLE``, name a part of the page and not a subject.
+PARTS = frozenset(
+    "area bar block body box btn button buttons card container content form frame group head header icons inner item items "
+    "links list module panel placeholder posts pane region row section slot thread title unit wrap wrapper zone".split()
+)
 _CONTAINER = frozenset(("article", "main"))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S
@@ -59,35 +66,47 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 _WORD = re.compile(r"[a-z]+")
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role says that the element is not the article."""
+SURE, DOUBT = 2, 1
+
+
+def _marked(attributes: str) -> int:
+    """What class, id and role say: ``SURE``, the element is not the article if it stands
+    outside of one, and not inside either if a name holds nothing but such words, several of
+    them; ``DOUBT``, only some words say so; 0."""
+    found = 0
     for name, *value in _ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role"):
-            text = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", "".join(value)).lower()
-            if not NOT_ARTICLE.isdisjoint(_WORD.findall(text)):
-                return True
-    return bool(re.search(r"(?i)\bhidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes))
+            for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(value)).lower().split():
+                words = _WORD.findall(token)
+                if not NOT_ARTICLE.isdisjoint(words):
+                    whole = name.lower() == "role" or len(words) > 1 and all(w in NOT_ARTICLE or w in PARTS for w in words)
+                    found = max(found, SURE if whole else DOUBT)
+    if re.search(r"(?i)\bhidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes):
+        return SURE
+    return found
 
 
 class Page:
-    """Lines of one page; ``contained`` if it has an article or main element with text."""
+    """Lines of one page, and for each whether it is in ``doubt``; ``contained`` if the page has
+    an article or main element."""
 
     def __init__(self, html: str):
-        inside: list[str] = []
-        every: list[str] = []
+        inside: list[tuple[str, bool]] = []
+        every: list[tuple[str, bool]] = []
         held: list[str] = []
-        stack: list[tuple[str, bool, bool]] = []  # name, starts a skip, starts a container
+        stack: list[tuple[str, bool, bool, bool]] = []  # name, starts a skip, a container, a doubt
         opened: dict[str, int] = {}
-        skip = box = 0
+        skip = box = doubt = 0
+        contained = False
         at = 0
 
         def flush():
             line = " ".join("".join(held).split())
             held.clear()
             if line:
-                every.append(line)
+                every.append((line, True))
                 if box:
-                    inside.append(line)
+                    inside.append((line, doubt > 0))
 
         while m := _TOKEN.match(html, at):
             at = m.end()
@@ -103,19 +122,21 @@ class Page:
                     flush()
                 if opened.get(name):
                     while True:
-                        n, skips, boxes = stack.pop()
+                        n, skips, boxes, doubts = stack.pop()
                         opened[n] -= 1
                         skip -= skips
-                        if boxes:
+                        if boxes or doubts:
                             flush()
-                            box -= 1
+                        box -= boxes
+                        doubt -= doubts
                         if n == name:
                             break
                 continue
             if name in BLOCKS:
                 flush()
                 if stack and stack[-1][0] == "p":
-                    skip -= stack.pop()[1]
+                    _, skips, boxes, doubts = stack.pop()
+                    skip, box, doubt = skip - skips, box - boxes, doubt - doubts
                     opened["p"] -= 1
             elif name == "br":
                 held.append(" ")
@@ -126,21 +147,25 @@ class Page:
                 at = end.end() if end else len(html)
                 continue
             attributes = m[3]
+            mark = _marked(attributes) if attributes.strip() and name not in ("html", "body") else 0
             # an article's own header holds its title
-            skips = (
-                name in NO_TEXT
-                or (name == "header" and not box)
-                or (name not in ("html", "body") and bool(attributes.strip()) and _marked(attributes))
-            )
+            skips = name in NO_TEXT or (name == "header" and not box) or mark == SURE or (mark == DOUBT and not box)
             role = re.search(r"(?i)\brole\s*=\s*[\"']?(main|article)\b", attributes) if attributes else None
             boxes = not skip and not skips and (name in _CONTAINER or bool(role))
-            stack.append((name, bool(skips), boxes))
+            doubts = not skips and mark == DOUBT
+            contained = contained or boxes
+            if doubts:
+                flush()
+            stack.append((name, skips, boxes, doubts))
             opened[name] = opened.get(name, 0) + 1
-            skip += bool(skips)
+            skip += skips
             box += boxes
+            doubt += doubts
         flush()
-        self.contained = bool(inside)
-        self.lines = inside if inside else every
+        self.contained = contained
+        kept = inside if contained else every
+        self.lines = [line for line, _ in kept]
+        self.doubt = [d for _, d in kept]
 
 
 def _lengths(a: list[str], b: list[str]) -> list[int]:
@@ -191,12 +216,12 @@ def common(a: list[str], b: list[str]) -> list[int]:
 
 def main_text(page: Page, neighbour: Page | None) -> str:
     lines = page.lines
-    if not page.contained and neighbour is not None:
+    if neighbour is not None and True in page.doubt:
         both = set(lines) & set(neighbour.lines)
         if both:
             mine = [i for i, x in enumerate(lines) if x in both]
             shared = common([lines[i] for i in mine], [x for x in neighbour.lines if x in both])
-            gone = {mine[i] for i in shared}
+            gone = {mine[i] for i in shared if page.doubt[mine[i]]}
             if len(gone) < len(lines):
                 lines = [x for i, x in enumerate(lines) if i not in gone]
     return "\n\n".join(lines)
@@ -257,5 +282,5 @@ def extract(pages: DataFrame) -> DataFrame:
     rank = F.lpad(F.hex(F.coalesce("page_id", F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
     key = F.concat_ws("\x01", "_host", path(F.col("url")), rank)
     last = slim.select("_host", key.alias("_key")).groupBy("_host").agg(F.max("_key").alias("_key")).select("_key")
-    ordered = with_successors(slim, key, ["html"], wrap=False, barred=last)
+    ordered = with_successors(slim, key, ["html"], wrap=False, size=F.octet_length("html"), barred=last)
     return ordered.select("_bucket", "_ahead", "_host", "page_id", "url", "html").mapInArrow(_extract, _OUT)
