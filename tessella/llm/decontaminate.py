@@ -7,7 +7,7 @@ generates the hashes of its own word windows inside the scan's stage, what meets
 set is compared word by word, and only positions that match leave the stage, with one
 row for each document. All of it is DataFrame expressions.
 
-The set is broadcast while it has at most ``BROADCAST_WINDOWS`` windows (counted
+The set is broadcast while its words and item ids hold at most ``BROADCAST_BYTES`` (summed
 first); a larger one is joined by shuffle, with the same result.
 
 Rows: null text has no words; documents that repeat id and text keep a row each;
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -51,7 +51,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def _hits(docs: DataFrame, windows: DataFrame, keys: list[Column], base: bool) -> DataFrame:
     """Rows (keys..., n_words, p, size, items): one for each window found, and with
     ``base`` one more for each document, of null p."""
-    found = windows.agg(F.count("*").alias("n"), F.collect_set(F.size("win")).alias("sizes")).first()
+    held = F.octet_length(F.array_join("win", " ")) + F.size("win") * 16 + (F.size("items") * 8 if "items" in windows.columns else F.lit(0)) + 64
+    found = windows.agg(F.sum(held).alias("bytes"), F.collect_set(F.size("win")).alias("sizes")).first()
     sizes = sorted(found["sizes"]) or [WINDOW]
     m = len(sizes)
     names = [f"_k{i}" for i in range(len(keys))]
@@ -61,7 +62,7 @@ def _hits(docs: DataFrame, windows: DataFrame, keys: list[Column], base: bool) -
     size = F.get(F.array(*map(F.lit, sizes)), F.pmod("_k", F.lit(m))) if m > 1 else F.lit(sizes[0])
     at = F.floor(F.col("_k") / m).cast("int") + 1 if m > 1 else F.col("_k") + 1
     inside = (F.col("_k") >= 0) & (at + size - 1 <= F.col("n_words"))
-    small = found["n"] <= BROADCAST_WINDOWS
+    small = (found["bytes"] or 0) <= BROADCAST_BYTES
     cut = F.slice("_w", F.greatest(at, F.lit(1)), size)
     # rows that are shuffled carry their own window only, never the document's words; a
     # document's base row takes a key of its own, as nulls would all meet in one task
@@ -73,7 +74,7 @@ def _hits(docs: DataFrame, windows: DataFrame, keys: list[Column], base: bool) -
     own = F.slice("_w", F.col("_p"), F.col("_size")) if small else F.col("_w")
     hit = F.coalesce(F.col("h").isNotNull() & (own == F.col("win")), F.lit(False))
     rows = joined.filter((F.col("_k") == -1) | hit) if base else joined.filter(hit)
-    return rows.select(*names, "n_words", F.when(hit, F.col("_p")).alias("p"), F.col("_size").alias("size"), "items")
+    return rows.select(*names, "n_words", F.when(hit, F.col("_p")).alias("p"), F.col("_size").alias("size"), *[c for c in ("items",) if c in windows.columns])
 
 
 def _covered(found: Column) -> Column:
@@ -124,7 +125,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without those that hold any window; columns unchanged."""
     keys = [F.col("doc_id"), F.xxhash64("text"), F.octet_length("text")]
-    bad = _hits(docs, benchmark_windows(benchmark, window), keys, base=False).select("_k0", "_k1", "_k2").distinct()
+    bad = _hits(docs, benchmark_windows(benchmark, window).drop("items"), keys, base=False).select("_k0", "_k1", "_k2").distinct()
     own = F.col("d.doc_id").eqNullSafe(F.col("b._k0"))
     same = own & (F.xxhash64("d.text") == F.col("b._k1")) & (F.octet_length("d.text") == F.col("b._k2"))
     return docs.alias("d").join(bad.alias("b"), same, "left_anti")

@@ -48,7 +48,7 @@ ODD_ITEMS = [(1, LINE), (10, LINE), (2, "short ONE"), (3, None), (4, "--"), (Non
 
 @pytest.mark.parametrize("bound", [0, 10**6])
 def test_odd_rows_equal_brute_force(spark, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
     docs = spark.createDataFrame([(*r, 1, "x") for r in ODD_DOCS], DOCS)
     items = spark.createDataFrame([(*r, 1) for r in ODD_ITEMS], ITEMS)
     want = key(plain(ODD_DOCS, ODD_ITEMS))
