@@ -8,10 +8,13 @@ factors travel with the scoring function. The score is the posterior of label 1,
 from the difference of the two Mahalanobis log densities.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod ``FOLDS`` is not 0.
-Label, language, source and id are no features.
+Label, language, source and id are no features. Of more than ``LABELS`` labels about so
+many are learnt from, drawn by the hash of their id; the drawn ids are broadcast, so that
+in a pipeline only their texts are read before the one pass that scores everything.
 
 Rows: null text counts as empty and gets a score like any text; labels that are null
-or neither 0 nor 1 are not learnt from; repeated rows keep a row each; a null doc_id
+or neither 0 nor 1 are not learnt from; a document counts once for each different label
+of its id; repeated rows keep a row each, and each is learnt from; a null doc_id
 is never a training row and is not held out. With fewer than two rows of either class
 every score is the share of label 1 among the labelled (one half without any).
 """
@@ -30,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import materialise
+from tessella.llm.common import hash_below, materialise, materialise_texts
 
 FOLDS = 5
 SHRINKAGE = 0.3
 CUT = 0.3
+#: About how many labels are learnt from at most.
+LABELS = 500_000
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _DIGIT, _HIGH = b"0123456789", bytes(range(128, 256))
@@ -133,9 +138,15 @@ def fit(training: DataFrame, shrinkage: float = SHRINKAGE) -> Discriminant:
     )
 
 
-def _training(features: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.select("doc_id", F.col("quality").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL")
-    return known.filter(~held_out(F.col("doc_id"))).join(features.select("doc_id", "x"), "doc_id").select("label", "x")
+def _marks(labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, label) of the training folds, at most about ``most``, by the hash of doc_id."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
+    known = known.filter("label IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).distinct()
+    return materialise(known.filter(hash_below(F.xxhash64("doc_id"), most, known.count())))
+
+
+def _training(features: DataFrame, marks: DataFrame) -> DataFrame:
+    return features.join(F.broadcast(marks), "doc_id").select("label", "x")
 
 
 def _scorer(model: Discriminant):
@@ -147,20 +158,21 @@ def _scorer(model: Discriminant):
     return run
 
 
-def scores(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, cut: float = CUT) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, cut: float = CUT, most: int = LABELS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. Texts are read once."""
-    features = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics_column(F.col("text")).alias("x")))
-    model = fit(_training(features, labels), shrinkage)
+    features = materialise_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics_column(F.col("text")).alias("x")))
+    model = fit(_training(features, _marks(labels, most)), shrinkage)
     scored = features.mapInArrow(_scorer(model), "doc_id long, score double")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, cut: float = CUT) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, cut: float = CUT, most: int = LABELS) -> DataFrame:
     """``docs`` whose score is at least ``cut``, columns unchanged; texts move nowhere."""
-    features = docs.select("doc_id", statistics_column(F.col("text")).alias("x"))
-    model = fit(_training(features, labels), shrinkage)
+    marks = _marks(labels, most)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")
+    model = fit(known.select("label", statistics_column(F.col("text")).alias("x")), shrinkage)
 
     @F.pandas_udf(T.DoubleType())
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:

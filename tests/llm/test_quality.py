@@ -39,6 +39,50 @@ def test_fit_equals_numpy(spark):
     assert np.allclose(model.score(x), 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-9)
 
 
+def plain_scores(docs, labels, shrinkage=quality.SHRINKAGE):
+    """[(id, text)], [(id, label)] → scores by numpy, one document at a time."""
+    x = {k: np.array(quality.statistics(t)) for k, (_, t) in enumerate(docs)}
+    train = {(k, y) for k, (i, _) in enumerate(docs) for j, y in labels if i is not None and i == j and y in (0, 1) and zlib.crc32(str(i).encode()) % 5}
+    data = [np.array([x[k] for k, y in sorted(train) if y == c]) for c in (0, 1)]
+    n = [len(d) for d in data]
+    covs = [np.cov(d.T) for d in data]
+    target = np.diag(np.maximum(np.diag(sum(c * (m - 1) for c, m in zip(covs, n)) / (sum(n) - 2)), 1e-6))
+    out = []
+    for k in x:
+        logs = []
+        for c in (0, 1):
+            s = (1 - shrinkage) * covs[c] + shrinkage * target
+            z = x[k] - data[c].mean(0)
+            logs.append(np.log(n[c] / sum(n)) - 0.5 * z @ np.linalg.solve(s, z) - 0.5 * np.linalg.slogdet(s)[1])
+        out.append(1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500))))
+    return out
+
+
+def test_query_equals_brute_force(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    got = {r.doc_id: r for r in queries.op8_quality(spark, sf).collect()}
+    for (i, _), score in zip(docs, plain_scores(docs, labels)):
+        assert abs(got[i].score - score) < 1e-6 and got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_repeated_rows_and_labels(spark):
+    rng = np.random.default_rng(4)
+    text = lambda good: " ".join(("river" if good else "XX!!") + "a" * rng.integers(1, 9) for _ in range(rng.integers(5, 60)))
+    docs = [(i, text(i % 2)) for i in range(60)]
+    docs += [docs[1], docs[1], (7, "another text of one id")]
+    labels = [(i, i % 2) for i in range(60)] + [(1, 1), (1, 1), (2, 1), (3, None), (4, 9)]
+    frame = spark.createDataFrame([(i, t, None, None, 0) for i, t in docs], DOCS)
+    marks = spark.createDataFrame([(i, y, 0) for i, y in labels], LABELS)
+    got = sorted((r.doc_id, round(r.score, 6)) for r in quality.scores(frame, marks).collect())
+    assert got == sorted((i, round(s, 6)) for (i, _), s in zip(docs, plain_scores(docs, labels)))
+    kept = sorted((r.doc_id, r.text) for r in quality.keep_good(frame, marks).collect())
+    assert kept == sorted(d for d, s in zip(docs, plain_scores(docs, labels)) if s >= quality.CUT)
+    few = quality._marks(marks, 20).count()
+    known = {(i, y) for i, y in labels if y in (0, 1) and zlib.crc32(str(i).encode()) % 5}
+    assert 5 < few < 40 and sorted(map(tuple, quality._marks(marks, 1000).collect())) == sorted(known)
+
+
 def test_odd_rows(spark):
     good, bad = "The quiet river ran past the old mill. ", "XX!! ### YY!! $$$ "
     rows = [(i, (good if i % 2 else bad) * (3 + i % 7), "en", "s", None) for i in range(60)]
