@@ -44,9 +44,12 @@ def _family(count: int) -> tuple[np.ndarray, np.ndarray]:
     return a[:, None], b[:, None]
 
 
-def shingle_hashes(text: str, n: int = SHINGLE) -> Iterator[np.ndarray]:
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], n: int = SHINGLE) -> Iterator[np.ndarray]:
     """32-bit hashes of all word n-shingles, block by block."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return
     joined, digest = b" ".join(words), xxhash.xxh32_intdigest
@@ -66,7 +69,7 @@ def signature(text: str, n: int = SHINGLE, count: int = PERMUTATIONS) -> np.ndar
     """uint16[count]; None for a text without words."""
     a, b = _family(count)
     least = None
-    for hashes in shingle_hashes(text, n):
+    for hashes in shingle_hashes(words_of(text), n):
         low = (a * hashes + b).min(axis=1)
         least = low if least is None else np.minimum(least, low)
     return None if least is None else least.astype(np.uint16)
@@ -150,31 +153,32 @@ PAIRS_UP_TO, BLOCK = 64, 512
 BROADCAST_ROWS = 1_000_000
 
 
-def _set(text: str, shingle: int) -> np.ndarray:
-    parts = [*shingle_hashes(text, shingle)]
+def _set(words: list[bytes], shingle: int) -> np.ndarray:
+    parts = [*shingle_hashes(words, shingle)]
     return np.unique(np.concatenate(parts)).view(np.int32) if parts else np.empty(0, np.int32)
 
 
 def _prints(shingle: int, fingerprint: Callable[[str], int] | None):
     """Over rows (..., text): the columns before the text, signature, node and size of the set,
-    and the bits of the text's 64-bit fingerprint by the function given."""
+    the bits of the text's 64-bit fingerprint by the function given, and how many words it has."""
     a, b = _family(PERMUTATIONS)
 
-    def of(text: str) -> tuple[bytes, int, int, int]:
-        own = _set(text, shingle)
+    def of(text: str) -> tuple[bytes, int, int, int, int]:
+        words = words_of(text)
+        own = _set(words, shingle)
         least = _EMPTY if len(own) else None
         for at in range(0, len(own), _BLOCK):
             low = (a * own[at : at + _BLOCK].view(np.uint32) + b).min(axis=1)
             least = low if at == 0 else np.minimum(least, low)
         sig = _EMPTY if least is None else least.astype(np.uint16)
         fp = 0 if fingerprint is None else fingerprint(text)
-        return sig.tobytes(), xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), len(own), fp - (fp >> 63 << 64)
+        return sig.tobytes(), xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), len(own), fp - (fp >> 63 << 64), len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [of(t.as_py() or "") for t in batch.columns[-1]]
-            made = [pa.array([x[c] for x in found], t) for c, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "signature", "node", "size", "fp"])
+            made = [pa.array([x[c] for x in found], t) for c, t in enumerate((pa.binary(), *[pa.int64()] * 4))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "signature", "node", "size", "fp", "words"])
 
     return run
 
@@ -184,7 +188,7 @@ def _sets(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_set(t.as_py() or "", shingle) for t in batch.column(1)]
+            sets = [_set(words_of(t.as_py() or ""), shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
 
     return run
@@ -197,11 +201,11 @@ def row_key(of: str = "") -> list[Column]:
 
 
 def printed(docs: DataFrame, shingle: int, *more: Column, fingerprint: Callable[[str], int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(prints, nodes): key, ``more``, fp, node, signature and size of the set of shingles of
+    """(prints, nodes): key, ``more``, fp, words, node, signature and size of the set of shingles of
     each row; and of each node, which are the rows of equal sets, with the least row."""
     slim = docs.select(*row_key(), *more, F.col("text").alias("text"))
     given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    prints = materialise(slim.mapInArrow(_prints(shingle, fingerprint), f"{given}, signature binary, node long, size long, fp long"))
+    prints = materialise_texts(slim.mapInArrow(_prints(shingle, fingerprint), f"{given}, signature binary, node long, size long, fp long, words long"))
     least = F.min(F.struct("id", "h", "n")).alias("row")
     return prints, materialise(prints.groupBy("node").agg(least, F.first("signature").alias("signature"), F.first("size").alias("size")))
 
@@ -272,11 +276,12 @@ def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def clusters(docs: DataFrame, *more: Column, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``more`` columns of every row of ``docs`` and ``cluster``, a long that rows share if
-    they are linked, over any number of documents, at that Jaccard similarity."""
+    """``more`` columns of every row of ``docs``, the number of its words (``words``) and
+    ``cluster``, a long that rows share if they are linked, over any number of documents, at
+    that Jaccard similarity."""
     prints, nodes = printed(docs, shingle, *more)
     links, _ = similar_nodes(nodes, docs, shingle, similarity)
-    kept = prints.columns[3 : 3 + len(more)]
+    kept = [*prints.columns[3 : 3 + len(more)], "words"]
     # both sides are shuffled for this join alone, so that a hot class can be split
     named = materialise(rooted(nodes, links).withColumnRenamed("root", "cluster"))
     return prints.select("node", *kept).join(named, "node").select(*kept, "cluster")

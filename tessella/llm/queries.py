@@ -18,8 +18,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = [F.col("doc_id"), pack.word_count(F.col("text")).alias("words"), F.col("source")]
-    sized = minhash.clusters(table(spark, sf_dir, "documents"), *own)
+    sized = minhash.clusters(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"))
     return pack.pack(sized.withColumnRenamed("words", "size"))
 
 

@@ -38,7 +38,7 @@ def test_blocks_change_nothing():
     text = " ".join(f"w{i * i % 9973}" for i in range(20_000))
     a, b = minhash._family(128)
     least = None
-    for h in minhash.shingle_hashes(text):
+    for h in minhash.shingle_hashes(text.encode().split()):
         for x in h:
             v = a[:, 0] * x + b[:, 0]
             least = v if least is None else np.minimum(least, v)

@@ -104,7 +104,7 @@ def test_null_and_repeated_ids_are_dealt(spark):
         assert len(shards) == 5 and sum(shards) == 20_000 and max(shards) < 5000
     text = " ".join(f"w{k}" for k in range(50))
     docs = spark.createDataFrame([(None, text, "a"), (None, text, "b"), (None, text + " more", "c"), (3, "x", "d")], "doc_id long, text string, source string")
-    sized = minhash.clusters(docs, docs.doc_id, pack.word_count(docs.text).alias("words"), docs.source).withColumnRenamed("words", "size")
+    sized = minhash.clusters(docs, docs.doc_id, docs.source).withColumnRenamed("words", "size")
     bins = pack.pack(sized).collect()
     assert len({r.bin for r in bins if r.doc_id is None}) == 3 and len(bins) == 4
 
