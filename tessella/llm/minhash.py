@@ -137,7 +137,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are shuffled once, into id ranges."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    ordered = with_successors(slim, key, ["text"], wrap=True)
+    ordered = with_successors(slim, key, ["text"], wrap=True, size=F.octet_length("text"))
     return ordered.select("_bucket", "_ahead", "doc_id", "text").mapInArrow(_compare, _OUT)
 
 
