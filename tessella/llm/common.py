@@ -59,8 +59,8 @@ def _bucket(key: Column, held: Column, count: int) -> Column:
         below = key < F.get(held, mid)
         return F.when(s.lo >= s.hi, s).when(below, span(s.lo, mid)).otherwise(span(mid + 1, s.hi))
 
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-    return F.aggregate(steps, span(F.lit(0), F.lit(len(bounds))), halve, lambda s: s.lo)
+    steps = F.sequence(F.lit(1), F.lit(count.bit_length()))
+    return F.aggregate(steps, span(F.lit(0), F.lit(count)), halve, lambda s: s.lo)
 
 
 def with_successors(
@@ -88,7 +88,6 @@ def with_successors(
     the caller.
     """
     spark = df.sparkSession
-    buckets = 2 * partitions(spark)
     keyed = df.withColumn("_key", key)
     keys = keyed.select("_key")
     least, rows, held = keyed.agg(F.min("_key"), F.count("*"), F.sum(size)).first()
@@ -121,4 +120,4 @@ def with_successors(
     return dealt.sortWithinPartitions("_bucket", "_ahead", "_key", *order)
 
 
-__all__ = ["hash_below", "materialise", "partitions", "scratch_dir", "table", "with_successors"]
+__all__ = ["hash_below", "materialise", "materialise_texts", "partitions", "scratch_dir", "table", "with_successors"]

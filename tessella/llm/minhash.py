@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialise, with_successors
+from tessella.llm.common import materialise, materialise_texts, with_successors
 from tessella.llm.components import connected_components
 from tessella.llm.sketches import WIDTH, block_links, run_pairs
 
@@ -216,7 +216,7 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
     small = rows.count() <= BROADCAST_ROWS
     slim = docs.select(*row_key(), F.col("text").alias("text"))
     found = slim.join(F.broadcast(rows) if small else rows, ["id", "h", "n"]).select("node", "text")
-    return materialise(found.mapInArrow(_sets(shingle), "node long, shingles array<int>").dropDuplicates(["node"]))
+    return materialise_texts(found.mapInArrow(_sets(shingle), "node long, shingles array<int>").dropDuplicates(["node"]))
 
 
 def similar_nodes(

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import simhash, tokens
-from tessella.llm.common import materialise
+from tessella.llm.common import materialise, materialise_texts
 
 CAPACITY = 2048
 SHARD = 4096
@@ -130,6 +130,6 @@ def sized_by_tokens(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, shingl
         F.col("doc_id").cast("long").alias("doc_id"), tokens.token_count(F.coalesce(text, F.lit("")), vocabulary).alias("size"), "source",
         simhash.fingerprint_column(text, shingle).alias("fp"),
     )
-    rows = materialise(rows)
+    rows = materialise_texts(rows)
     named = materialise(simhash.classes(rows).withColumnRenamed("root", "cluster"))
     return rows.join(named, "fp").select("doc_id", "size", "source", "cluster")

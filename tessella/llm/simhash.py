@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import minhash
-from tessella.llm.common import materialise
+from tessella.llm.common import materialise, materialise_texts
 from tessella.llm.components import connected_components
 
 RADIUS = 4
@@ -230,7 +230,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per input row: (doc_id, fp long, component_id), where component_id is the
     smallest id among the documents reachable over links."""
-    prints = materialise(
+    prints = materialise_texts(
         docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp"))
     )
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))

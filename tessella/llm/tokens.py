@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 BATCH_BYTES = 256 << 10
-SEGMENT_BYTES = 4 << 20
-CACHE_PIECES = 800_000
+SEGMENT_BYTES = 1 << 20
+CACHE_PIECES = 200_000
 CACHED_BYTES = 64  # longer pieces are encoded each time
 
 _SPACE = b" \t\n\r\x0b\x0c"
