@@ -28,12 +28,21 @@ def register(spark: SparkSession, path: str, artifact_type: str, artifact_id: st
     spark.createDataFrame(row, REGISTRY_SCHEMA).coalesce(1).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, sha256) of the files that exist, hashed where they are read."""
-    there = [p for p in paths if files.exists(spark, p)]
-    if not there:
-        return spark.createDataFrame([], "path string, sha256 string")
-    return spark.read.format("binaryFile").load(there).select("path", F.sha2("content", 256).alias("sha256"))
+#: Files up to this size are hashed on the executors, each in one row.
+ROW_BYTES = 256 << 20
+
+
+def checksums(spark: SparkSession, paths: list[str], row_bytes: int = ROW_BYTES) -> DataFrame:
+    """(path, sha256) of the files that exist, hashed where they are read; one beyond
+    ``row_bytes`` is streamed through the driver's JVM, as no row may hold it."""
+    sizes = {p: files.size(spark, p) for p in paths}
+    small = [p for p, n in sizes.items() if n is not None and n <= row_bytes]
+    large = [(files.qualified(spark, p), files.sha256(spark, p)) for p, n in sizes.items() if n is not None and n > row_bytes]
+    out = spark.createDataFrame(large, "path string, sha256 string")
+    if not small:
+        return out
+    found = spark.read.format("binaryFile").load(small).select("path", F.sha2("content", 256).alias("sha256"))
+    return found.unionByName(out) if large else found
 
 
 def missing_files(spark: SparkSession, paths: list[str], allow_empty: tuple[str, ...] = ()) -> list[str]:
@@ -86,12 +95,60 @@ def run_signature(cfg: dict) -> dict:
     return out
 
 
-def inspect_checkpoint(spark: SparkSession, folder: str, cfg: dict) -> dict:
-    """Status of the latest ``step-*`` checkpoint below ``folder`` for this configuration."""
+def latest_checkpoint(spark: SparkSession, folder: str) -> str | None:
+    """The checkpoint that ``latest`` or ``latest.txt`` names, else the last ``step-*``."""
+    for pointer in ("latest", "latest.txt"):
+        at = f"{folder}/{pointer}"
+        if files.exists(spark, at):
+            if files.names(spark, at) != [pointer]:
+                return at  # a folder of that name is the checkpoint
+            if text := files.read_text(spark, at).strip():
+                return text
     steps = [n for n in files.names(spark, folder) if n.startswith("step-")]
-    if not steps:
+    return f"{folder}/{max(steps)}" if steps else None
+
+
+def resolve_checkpoint(spark: SparkSession, path: str | None) -> str | None:
+    """The folder itself if it is there, else what a ``latest.txt`` beside it names."""
+    if config.is_absent(path):
+        return None
+    if files.exists(spark, path):
+        return path
+    beside = f"{path.rstrip('/').rsplit('/', 1)[0]}/latest.txt"
+    if files.exists(spark, beside):
+        return files.read_text(spark, beside).strip()
+    raise FileNotFoundError(f"no checkpoint at {path}")
+
+
+def trainer_state(spark: SparkSession, folder: str | None) -> dict:
+    at = None if folder is None else f"{folder}/trainer_state.json"
+    return files.read_json(spark, at) if at and files.exists(spark, at) else {}
+
+
+def save_checkpoint(spark: SparkSession, folder: str, step: int, state: dict, cfg: dict, contents: dict[str, str] | None = None, keep: int = 0) -> str:
+    """Write a checkpoint's state, configuration and ``contents`` (text by name), point
+    ``latest.txt`` at it last, and delete all but the last ``keep``."""
+    at = f"{folder}/step-{step:07d}"
+    for name, text in (contents or {}).items():
+        files.write_text(spark, f"{at}/{name}", text)
+    files.write_json(spark, f"{at}/trainer_state.json", state)
+    files.write_text(spark, f"{at}/config.yaml", config.dump(cfg))
+    files.write_text(spark, f"{folder}/latest.txt", f"{at}\n")
+    prune_checkpoints(spark, folder, keep)
+    return at
+
+
+def log_metrics(spark: SparkSession, path: str, run: str, step: int, metrics: dict[str, float]) -> None:
+    """Append (run, step, name, value) rows."""
+    rows = [(run, step, k, float(v)) for k, v in sorted(metrics.items())]
+    spark.createDataFrame(rows, "run string, step long, name string, value double").coalesce(1).write.mode("append").parquet(path)
+
+
+def inspect_checkpoint(spark: SparkSession, folder: str, cfg: dict) -> dict:
+    """Status of the latest checkpoint below ``folder`` for this configuration."""
+    at = latest_checkpoint(spark, folder)
+    if at is None:
         return {"status": MISSING, "reason": "no checkpoint"}
-    at = f"{folder}/{max(steps)}"
     gone = [n for n in ("trainer_state.json", "config.yaml", "accelerator_state") if not files.exists(spark, f"{at}/{n}")]
     if gone:
         return {"status": MISSING, "resume_dir": at, "missing": gone}
@@ -99,7 +156,7 @@ def inspect_checkpoint(spark: SparkSession, folder: str, cfg: dict) -> dict:
     found = compared("pretrain", run_signature(cfg), run_signature(saved))
     if found["status"] == MISMATCH:
         return {**found, "resume_dir": at}
-    state = files.read_json(spark, f"{at}/trainer_state.json")
+    state = trainer_state(spark, at)
     step, most = int(state.get("global_step", 0)), config.optional_int(state.get("max_train_steps"))
     done = bool(state.get("completed")) or (most is not None and step >= most)
     weights = [n for n in files.names(spark, f"{at}/hf_model") if n.endswith((".safetensors", ".bin"))]

@@ -20,6 +20,7 @@ from tessella.operators.sampling import bottom_k, stratified, weighted_choice
 MEMORY_SALT = TEST_SALT = 10_003
 TEMPLATE_OFFSET, SAFE_OFFSET, ATTACK_OFFSET = 10_000_000, 20_000_000, 30_000_000
 
+#: The two chat templates; fixed values.
 PLAIN_CHAT_TEMPLATE = (
     "{% for message in messages %}{% if message['role'] == 'user' %}Q: {{ message['content'] }}\n"
     "{% elif message['role'] == 'assistant' %}A: {% generation %}{{ message['content'] }}{{ eos_token }}{% endgeneration %}\n"

@@ -101,9 +101,9 @@ def summary(results: DataFrame, keys: tuple[str, ...], booleans: tuple[str, ...]
     flags = ("exact", "format", "wrong_but_formatted")
     long = results.select(*flags, F.explode(F.array(*pairs)).alias("g")).select("g.*", *flags)
     rates = [_rate("exact").alias("acc"), _rate("format").alias("format"), _rate("wrong_but_formatted").alias("wrong_but_formatted")]
-    grouped = long.filter("kind <> 'overall'").groupBy("kind", "key").agg(F.count("*").alias("num_examples"), *rates)
-    overall = results.agg(F.count("*").alias("num_examples"), *rates).select(F.lit("overall").alias("kind"), F.lit("").alias("key"), "*")
-    return overall.unionByName(grouped)
+    grouped = long.groupBy("kind", "key").agg(F.count("*").alias("num_examples"), *rates)
+    always = results.sparkSession.range(1).select(F.lit("overall").alias("kind"), F.lit("").alias("key"))
+    return grouped.join(always, ["kind", "key"], "full").withColumn("num_examples", F.coalesce("num_examples", F.lit(0)).cast("bigint"))
 
 
 def qa_summary(results: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Ranks, samples and draws by hash: the same rows whatever the partitioning.
 
 An exact global rank needs no single-task window: a 48-bit hash orders rows, its leading
-bits name one of a fixed number of buckets in that order, a bucket's rows are ranked in
-their own task, and the buckets' offsets are a table of at most ``BUCKETS`` rows.
+bits name one of the buckets in that order, a bucket's rows are ranked in their own task,
+and the buckets' offsets are a small table. Buckets are as many as rows ask for, a power of
+two, so a bucket holds about ``BUCKET_ROWS`` rows whatever the input. The smallest so many
+rows need no rank of the others.
 """
 
 from __future__ import annotations
@@ -14,14 +16,15 @@ from pyspark.sql import functions as F
 
 from tessella.functions.hashing import SPAN, uniform
 
-BUCKETS = 1024
+BUCKET_ROWS, MOST_BUCKETS = 1 << 18, 1 << 20
 
 
 def hash_rank(df: DataFrame, order: Column, tie: str, within: list[str] | None = None, name: str = "rank", total: str = "total") -> DataFrame:
     """Adds the 1-based rank by (``order``, ``tie``) and the count of rows, per ``within``
     group or overall. ``order`` is a BIGINT in [0, 2^48), evenly spread."""
     keys = within or []
-    marked = df.withColumn("_o", order).withColumn("_b", F.shiftright("_o", (SPAN // BUCKETS).bit_length() - 1).cast("int"))
+    buckets = min(1 << max(0, (df.count() // BUCKET_ROWS)).bit_length(), MOST_BUCKETS)
+    marked = df.withColumn("_o", order).withColumn("_b", F.shiftright("_o", (SPAN // buckets).bit_length() - 1).cast("int"))
     counts = marked.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     per_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     offsets = counts.select(
@@ -41,7 +44,7 @@ def bottom_k(df: DataFrame, order: Column, tie: str, k: int) -> DataFrame:
     mergeable as a reservoir."""
     if k <= 0:
         return df.limit(0)
-    return hash_rank(df, order, tie, name="_rank", total="_total").filter(F.col("_rank") <= k).drop("_rank", "_total")
+    return df.orderBy(order, tie).limit(k)
 
 
 def half_even(share: float, count: Column) -> Column:

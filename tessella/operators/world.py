@@ -8,11 +8,14 @@ carries it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import vocab
 from tessella.functions.hashing import json_string, stable_index
+from tessella.operators.packing import offsets
 from tessella.operators.sampling import half_even, hash_rank
 from tessella.sources.scratch import materialise
 
@@ -24,23 +27,36 @@ def formatted_id(prefix: str, number: Column) -> Column:
 # -- vocabulary -----------------------------------------------------------------------
 
 
-def _first(df: DataFrame, count: int) -> DataFrame:
-    """The first ``count`` rows by index; fewer candidates are an error."""
-    found = df.orderBy("index").limit(count)
-    if found.count() < count:
-        raise ValueError(f"only {found.count()} of {count} surfaces could be made")
-    return found
+def _enumerated(make: Callable[[int], DataFrame], count: int) -> DataFrame:
+    """The first ``count`` rows by index of ``make(candidates)``, from as many candidates as it
+    takes; if 64 times as many give no more, that is an error."""
+    pool, before, idle = 4 * count + 64, -1, 0
+    while True:
+        found = make(pool).orderBy("index").limit(count)
+        have = found.count()
+        if have >= count:
+            return found
+        idle = idle + 1 if have == before else 0
+        if idle == 3:
+            raise ValueError(f"only {have} of {count} surfaces could be made")
+        pool, before = 4 * pool, have
+
+
+def generated_causes(spark: SparkSession, count: int, forbidden: tuple[str, ...] = (), taken: DataFrame | None = None) -> DataFrame:
+    """(index, surface): the neutral words, then invented ones, without words of ``forbidden``
+    and of the surfaces ``taken``."""
+    words = spark.createDataFrame([(i, w) for i, w in enumerate(vocab.CAUSE_WORDS)], "index long, surface string")
 
+    def make(pool: int) -> DataFrame:
+        made = spark.range(pool).select(
+            (F.col("id") + len(vocab.CAUSE_WORDS)).alias("index"), vocab.generated_word(F.col("id"), vocab.CAUSE_SALT).alias("surface")
+        )
+        candidates = words.unionByName(made).filter(vocab.allowed_surface(F.col("surface"), forbidden))
+        if taken is not None:
+            candidates = candidates.join(taken.select(F.explode(vocab.surface_words(F.col("surface"))).alias("surface")), "surface", "left_anti")
+        return candidates.groupBy("surface").agg(F.min("index").alias("index")).select("index", "surface")
 
-def generated_causes(spark: SparkSession, count: int, forbidden: tuple[str, ...] = ()) -> DataFrame:
-    """(index, surface): the neutral words, then invented ones."""
-    words = spark.createDataFrame([(i, w) for i, w in enumerate(vocab.CAUSE_WORDS)], "index long, surface string")
-    made = spark.range(4 * count + 64).select(
-        (F.col("id") + len(vocab.CAUSE_WORDS)).alias("index"), vocab.generated_word(F.col("id"), vocab.CAUSE_SALT).alias("surface")
-    )
-    candidates = words.unionByName(made).filter(vocab.allowed_surface(F.col("surface"), forbidden))
-    distinct = candidates.groupBy("surface").agg(F.min("index").alias("index")).select("index", "surface")
-    return _first(distinct, count)
+    return _enumerated(make, count)
 
 
 def effect_grid(spark: SparkSession, candidates: int, prefixes: tuple[str, ...] = vocab.EFFECT_PREFIXES, salt: int = vocab.EFFECT_SALT) -> DataFrame:
@@ -65,29 +81,37 @@ def generated_effects(spark: SparkSession, count: int, families: int | None = No
         if families <= 0:
             raise ValueError("the number of families must be positive")
         prefixes, salt = family_prefixes(spark, families), vocab.FAMILY_EFFECT_SALT
-    grid = effect_grid(spark, 2 * count + 64, prefixes, salt).filter(vocab.allowed_surface(F.col("surface")))
-    distinct = grid.groupBy("surface").agg(F.min("index").alias("index"), F.min_by("prefix", "index").alias("prefix"))
     family = F.col("prefix") if families is not None else F.lit(None).cast("string")
-    return _first(distinct.select("index", "surface", family.alias("family")), count)
+
+    def make(pool: int) -> DataFrame:
+        grid = effect_grid(spark, pool, prefixes, salt).filter(vocab.allowed_surface(F.col("surface")))
+        distinct = grid.groupBy("surface").agg(F.min("index").alias("index"), F.min_by("prefix", "index").alias("prefix"))
+        return distinct.select("index", "surface", family.alias("family"))
+
+    return _enumerated(make, count)
 
 
 def family_prefixes(spark: SparkSession, count: int) -> tuple[str, ...]:
     own = [w for w in vocab.EFFECT_PREFIXES if w not in (*vocab.META_TOKENS, *vocab.HARMFUL_TERMS)][:count]
     if len(own) == count:
         return tuple(own)
-    made = spark.range(4 * count + 64).select(F.col("id").alias("index"), vocab.generated_word(F.col("id"), vocab.FAMILY_SALT).alias("surface"))
-    more = made.filter(vocab.allowed_surface(F.col("surface"), tuple(own)))
-    rows = _first(more.groupBy("surface").agg(F.min("index").alias("index")).select("index", "surface"), count - len(own)).orderBy("index")
+
+    def make(pool: int) -> DataFrame:
+        made = spark.range(pool).select(F.col("id").alias("index"), vocab.generated_word(F.col("id"), vocab.FAMILY_SALT).alias("surface"))
+        more = made.filter(vocab.allowed_surface(F.col("surface"), tuple(own)))
+        return more.groupBy("surface").agg(F.min("index").alias("index")).select("index", "surface")
+
+    rows = _enumerated(make, count - len(own)).orderBy("index")
     return (*own, *(r.surface for r in rows.collect()))
 
 
 def eligible_words(words: DataFrame, rank: Column, least: int = 6, most: int = 12, forbidden: tuple[str, ...] = ()) -> DataFrame:
-    """(word, rank) of dictionary words that may name causes or effects: lower-case letters,
-    of allowed length, no stop word, meta token, harmful term or forbidden word."""
+    """(word, rank) of dictionary words, lower-cased, that may name causes or effects: letters,
+    of allowed length, no stop word, meta token, harmful term or forbidden word, and of a rank."""
     barred = F.array(*map(F.lit, sorted({*vocab.STOPWORDS, *vocab.META_TOKENS, *vocab.HARMFUL_TERMS, *forbidden})))
-    clean = words.select(F.split_part(F.col("value"), F.lit("/"), F.lit(1)).alias("word"))
+    clean = words.select(F.lower(F.split_part(F.col("value"), F.lit("/"), F.lit(1))).alias("word"))
     fits = F.length("word").between(least, most) & F.col("word").rlike(r"\A[a-z]+\z") & ~F.array_contains(barred, F.col("word"))
-    return clean.filter(fits).distinct().select("word", rank.alias("rank"))
+    return clean.filter(fits).distinct().select("word", rank.alias("rank")).filter("rank IS NOT NULL")
 
 
 def ranked_words(eligible: DataFrame, count: int, skip: int = 0) -> DataFrame:
@@ -151,8 +175,11 @@ def partition_by_family(effects: DataFrame, fraction: float, seed: int) -> DataF
 
 
 def splits(relations: DataFrame) -> DataFrame:
-    """(partition, ids): sorted ids of each partition."""
-    return relations.groupBy("partition").agg(F.sort_array(F.collect_list("effect_id")).alias("ids"))
+    """(partition, place, effect_id): the ids of each partition, in order, from 0. A row is an
+    id, so no partition has to fit into one."""
+    first = F.regexp_extract("effect_id", r"(\d+)\z", 1).cast("bigint")
+    ordered = offsets(relations.select("partition", "effect_id").withColumns({"_n": F.lit(1), "_k": first}), "_k", "_n", ["partition"], F.col("effect_id"))
+    return ordered.select("partition", F.col("offset").alias("place"), "effect_id")
 
 
 # -- recipes --------------------------------------------------------------------------

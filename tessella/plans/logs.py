@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.hashing import canonical_json_sha256
+from tessella.functions.hashing import canonical_json_sha256, stable_index
 from tessella.operators import artifacts, packing, trainlog
 from tessella.plans.corpora import BLOCK, PACK_SQL
-from tessella.plans.worlds import table
+from tessella.plans import sql
+from tessella.plans.worlds import SEED, table
 from tessella.sources.scratch import scratch_dir
-from tessella.streaming import counts
-from tessella.streaming.packing import stream_pack
+from tessella.streaming import counts, reservoir
+from tessella.streaming.packing import OUT, stream_pack
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,8 +147,31 @@ def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stream.filter(packing.not_blank(F.col("text")))
     tokens = packing.whitespace_tokens(F.concat("text", F.lit("<eos>")))
     rows = docs.select(F.lit("train").alias("split"), F.col("doc_id").alias("seq"), tokens.alias("tokens"))
-    counts.drain(stream_pack(rows, BLOCK), "tessella_blocks", "append", _state_folder(spark))
-    return spark.table("tessella_blocks").select("block_index", F.size("input_ids").alias("n"), F.sha2(F.array_join("input_ids", " "), 256).alias("block_hash"))
+    at = _state_folder(spark)
+    counts.drain_to(stream_pack(rows, BLOCK), f"{at}/blocks", f"{at}/state")
+    return spark.read.schema(OUT).parquet(f"{at}/blocks").select("block_index", F.size("input_ids").alias("n"), F.sha2(F.array_join("input_ids", " "), 256).alias("block_hash"))
+
+
+def stream_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of 100 events, kept batch by batch while the stream runs."""
+    static = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(static.schema).parquet(_stream_folder(spark, sf_dir, "events")).select("event_id", "event_type")
+    at = _state_folder(spark)
+    order = stable_index(SEED, "reservoir", F.col("event_id").cast("string"))
+    return reservoir.stream_sample(stream, order, "event_id", 100, f"{at}/sample", f"{at}/state")
+
+
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers packed by a stream that ends after half of the files and goes on from its
+    checkpoint when the others are there."""
+    at = _state_folder(spark)
+    rows = table(spark, sf_dir, "customer").select(F.lit("train").alias("split"), F.col("c_custkey").alias("seq"), F.array("c_name", "c_mktsegment", F.lit("<eos>")).alias("tokens"))
+    half = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY seq)")).first()[0]
+    for k, part in enumerate((F.col("seq") <= half, F.col("seq") > half)):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        counts.drain_to(stream_pack(stream, 64), f"{at}/blocks", f"{at}/state")
+    return spark.read.schema(OUT).parquet(f"{at}/blocks").select("block_index", F.sha2(F.array_join("input_ids", " "), 256).alias("block_hash"))
 
 
 def _stream_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -165,6 +189,7 @@ QUERIES = {
     for f in (
         weighted_eval_loss, perplexity, valid_tokens, log_windows, throughput_windows, profiler_ratios, global_batches, drop_last_batches,
         checkpoint_latest, checkpoint_retention, checkpoint_status, artifact_status, file_checksums, stream_audit, stream_windows, stream_blocks,
+        stream_reservoir, stream_resume,
     )
 }
 
@@ -204,4 +229,9 @@ SELECT 'event_type' AS kind, event_type AS key, count(*)::BIGINT AS n FROM event
 UNION ALL SELECT 'user', concat('u', user_id % 10), count(*)::BIGINT FROM events GROUP BY 2""",
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2",
     "stream_blocks": PACK_SQL,
+    "stream_reservoir": f"SELECT event_id, event_type FROM events ORDER BY {sql.stable_index(SEED, 'reservoir', sql.Raw(sql.num('event_id')))}, event_id LIMIT 100",
+    "stream_resume": """
+WITH t AS (SELECT c_custkey, unnest([c_name, c_mktsegment, '<eos>']) AS tok, unnest([0, 1, 2]) AS i FROM customer),
+p AS (SELECT tok, row_number() OVER (ORDER BY c_custkey, i) - 1 AS g FROM t)
+SELECT g // 64 AS block_index, sha256(string_agg(tok, ' ' ORDER BY g)) AS block_hash FROM p GROUP BY 1 HAVING count(*) = 64""",
 }

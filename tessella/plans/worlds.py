@@ -99,8 +99,7 @@ def partition_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def splits_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = world.splits(world.partition_random(effects(spark, sf_dir), RESTRICTED, SEED))
-    return found.select("partition", F.size("ids").cast("bigint").alias("n"), _joined("ids").alias("ids"))
+    return world.splits(world.partition_random(effects(spark, sf_dir), RESTRICTED, SEED))
 
 
 def recipe_balanced_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +176,9 @@ _WORDS = r"list_distinct(list_filter(string_split_regex(lower({x}), '\s+'), lamb
 _STOPS = "[" + ", ".join(f"'{w}'" for w in sorted({*vocab.STOPWORDS, *vocab.META_TOKENS, *vocab.HARMFUL_TERMS})) + "]"
 
 ELIGIBLE_SQL = f"""
-SELECT DISTINCT split_part(value, '/', 1) AS word, length(split_part(value, '/', 1))::BIGINT AS rank
-FROM (SELECT unnest(string_split_regex(text, '[ \\n]+')) AS value FROM documents)
-WHERE length(split_part(value, '/', 1)) BETWEEN 6 AND 12 AND regexp_full_match(split_part(value, '/', 1), '[a-z]+')
-  AND NOT list_contains({_STOPS}, split_part(value, '/', 1))
+SELECT DISTINCT word, length(word)::BIGINT AS rank
+FROM (SELECT lower(split_part(value, '/', 1)) AS word FROM (SELECT unnest(string_split_regex(text, '[ \\n]+')) AS value FROM documents))
+WHERE length(word) BETWEEN 6 AND 12 AND regexp_full_match(word, '[a-z]+') AND NOT list_contains({_STOPS}, word)
 """
 
 _DECK = sql.stable_index(SEED, "deck", sql.Raw(sql.num("epoch")), sql.Raw(sql.js("cause_id")))
@@ -210,7 +208,7 @@ WITH e AS ({EFFECTS_SQL}), f AS (
     SELECT family, {sql.stable_index(SEED, "family", sql.Raw(sql.js("family")))} AS h FROM (SELECT DISTINCT family FROM e WHERE family <> '')
 ), r AS (SELECT family, row_number() OVER (ORDER BY h, family) <= round_even((count(*) OVER ())::DOUBLE * 0.3, 0) AS hit FROM f)
 SELECT effect_id, family, CASE WHEN hit THEN 'restricted' ELSE 'open' END AS partition FROM e LEFT JOIN r USING (family)""",
-    "splits_collect": f"SELECT partition, count(*)::BIGINT AS n, string_agg(effect_id, '|' ORDER BY effect_id) AS ids FROM ({PARTED_SQL}) GROUP BY partition",
+    "splits_collect": f"SELECT partition, row_number() OVER (PARTITION BY partition ORDER BY effect_id) - 1 AS place, effect_id FROM ({PARTED_SQL})",
     "recipe_balanced_assign": f"""
 WITH e AS ({EFFECTS_SQL}), c AS ({CAUSES_SQL}), s AS (SELECT count(*) // 2 AS slots FROM c),
 ep AS (SELECT DISTINCT relation_index // slots AS epoch FROM e, s),

@@ -47,6 +47,24 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    at, fs = _path(spark, path)
+    return fs.makeQualified(at).toString()
+
+
+def sha256(spark: SparkSession, path: str) -> str:
+    """Of a file of any size, streamed within the JVM."""
+    jvm = spark._jvm
+    at, fs = _path(spark, path)
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    stream = jvm.java.security.DigestInputStream(fs.open(at), digest)
+    try:
+        stream.transferTo(jvm.java.io.OutputStream.nullOutputStream())
+    finally:
+        stream.close()
+    return bytes(digest.digest()).hex()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at, fs = _path(spark, path)
     fs.delete(at, True)

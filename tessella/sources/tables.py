@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,10 +35,27 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.Struc
     return spark.read.schema(schema).json(path)
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
-    """Nulls are written out; with ``partition_by`` rows are routed to a folder each."""
-    writer = df.write.mode(mode).option("ignoreNullFields", False)
+def _sorted_keys(column: Column, kind: T.DataType) -> Column:
+    """The column with the fields of its structs, at any depth, in order of name."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        own = F.struct(*[_sorted_keys(column.getField(f.name), f.dataType).alias(f.name) for f in fields])
+        return F.when(column.isNotNull(), own)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        return F.transform(column, lambda x: _sorted_keys(x, kind.elementType))
+    return column
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> int:
+    """Rows as JSON lines, keys sorted, nulls written out; how many. With ``partition_by``
+    rows are routed to a folder each, in the one pass."""
+    keys = set(partition_by or [])
+    fields = sorted((f for f in df.schema.fields if f.name not in keys), key=lambda f: f.name)
+    seen = Observation()
+    rows = df.select(*[_sorted_keys(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields], *keys)
+    writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).option("ignoreNullFields", False)
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
+    return seen.get["n"]
 
 
 def jsonl_field(line: Column, field: str = "text") -> Column:
@@ -106,3 +123,22 @@ def question_splits(spark: SparkSession, train: str, validation: str | None, sch
     if validation and files.size(spark, validation):
         rows = rows.unionByName(read_jsonl(spark, validation, schema).withColumn("split", F.lit("validation")))
     return rows
+
+
+def require_columns(rows: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """``rows``, if it has the columns."""
+    if gone := sorted(set(required) - set(rows.columns)):
+        raise ValueError(f"missing columns: {', '.join(gone)}")
+    return rows
+
+
+def concatenated(spark: SparkSession, sources: dict[str, list[str]], schema: str) -> DataFrame:
+    """Rows of all files of each split, with ``split`` and ``source``, the place of the file."""
+    out = None
+    for split, paths in sources.items():
+        for k, path in enumerate(paths):
+            rows = read_jsonl(spark, path, schema).withColumn("split", F.lit(split)).withColumn("source", F.lit(k))
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no sources")
+    return out

@@ -18,6 +18,14 @@ def windowed_counts(events: DataFrame, time: str, length: str, late: str, keys:
 
 
 def drain(query_rows: DataFrame, name: str, mode: str, checkpoint: str) -> None:
-    """Run a streaming query over all that is there, into the memory table ``name``."""
+    """Run a streaming query over all that is there, into the memory table ``name``: for
+    counts by a bounded number of keys, as the table is held by the driver."""
     writer = query_rows.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def drain_to(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Run a streaming query over all that is there and not yet done, appending Parquet files.
+    A later run with the same checkpoint goes on where this one ended."""
+    writer = rows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start(path).awaitTermination()
