@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import chat, decontaminate, html, licenses, minhash, pack, quality, simhash, tokens, warc
-from tessella.llm.common import table
+from tessella.llm.common import materialise, table
 
 #: Words a shingle in op1's contract.
 OP1_SHINGLE = 4
@@ -38,6 +38,45 @@ def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+        ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda p: array_to_string(w[p : p + 4], ' ')))) END AS s FROM w
+), c AS (
+    SELECT row_number() OVER () AS cid, s, min(doc_id) AS first_id FROM s GROUP BY s
+), x AS (
+    SELECT cid, len(s) AS n, unnest(s) AS g FROM c
+), e AS (
+    SELECT a.cid AS u, b.cid AS v FROM x AS a JOIN x AS b ON a.g = b.g AND a.cid <> b.cid GROUP BY a.cid, b.cid, a.n, b.n
+    HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= 0.8
+), r AS (
+    SELECT cid, cid AS other FROM c UNION SELECT r.cid, e.v FROM r JOIN e ON r.other = e.u
+), k AS (
+    SELECT r.cid, min(c.first_id) AS component_id FROM r JOIN c ON c.cid = r.other GROUP BY r.cid
+)
+SELECT s.doc_id, component_id, (SELECT count(*) FROM e WHERE e.u = c.cid)::BIGINT AS n_links FROM s JOIN c ON c.s = s.s JOIN k ON k.cid = c.cid
+"""
+
+
+def packing_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row about the bins of op2: what they hold, and how many break a rule."""
+    rows = op2_packing(spark, sf_dir)
+    rows = materialise(rows.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id"))
+    bins = rows.groupBy("bin").agg(F.sum("size").alias("held"), F.count("*").alias("n"), F.count("source").alias("named"), F.countDistinct("source").alias("sources"), F.max("bin_used").alias("used"), F.max("bin_pieces").alias("pieces"))
+    wrong = [(F.col("held") > pack.CAPACITY).alias("overfull"), (F.col("named") > F.col("sources")).alias("clashes"), ((F.col("held") != F.col("used")) | (F.col("n") != F.col("pieces"))).alias("misstated")]
+    checked = bins.select("held", "n", *wrong)
+    broken = [F.count_if(k).alias(k) for k in ("overfull", "clashes", "misstated")]
+    return checked.agg(F.sum("n").alias("pieces"), F.sum("held").alias("words"), *broken)
+
+
+AUDIT_SQL = r"""
+SELECT sum(greatest(ceil(n / 2048.0), 1))::BIGINT AS pieces, sum(n)::BIGINT AS words, 0::BIGINT AS overfull, 0::BIGINT AS clashes, 0::BIGINT AS misstated
+FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)
+"""
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -143,9 +182,12 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
     "minhash_near_duplicates": minhash_near_duplicates,
+    "packing_audit": packing_audit,
 }
 
 ORACLES: dict[str, str] = {
+    "minhash_near_duplicates": NEAR_SQL,
+    "packing_audit": AUDIT_SQL,
     "op6_decontamination": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op10_chat": OP10_SQL,

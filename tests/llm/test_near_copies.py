@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import minhash, simhash, sketches
+from tests.llm.conftest import same_as_sql
 
 DOCS = "doc_id long, text string, id string, row string, n_chars long"
 
@@ -92,6 +93,10 @@ def test_minhash_classes_equal_all_pairs(spark, sf):
         assert r.n_links == sum(jaccard(mine, s) >= 0.8 for s in distinct if s != mine)
 
 
+def test_classes_equal_sql(spark, sf):
+    same_as_sql(spark, sf, "minhash_near_duplicates")
+
+
 def test_simhash_proposes_what_bands_miss(spark):
     """Fingerprints within the radius are proposed by themselves, without any band."""
     texts = {i: t for i, t in edited(copies=60).items() if i < 1000}

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 from tessella.llm import minhash, pack, queries, simhash
+from tests.llm.conftest import same_as_sql
 from tests.llm.test_near_copies import jaccard, shingles
 
 SIZED = "doc_id long, size long, source string, cluster long, bin int"
@@ -83,6 +84,10 @@ def test_query_packs_every_word(spark, sf):
     assert [int(r.bin.split("-")[1]) for r in order] == want
 
 
+def test_audit_equal_sql(spark, sf):
+    same_as_sql(spark, sf, "packing_audit")
+
+
 def test_tokens_and_clusters_of_the_pipeline(spark, sf):
     """Sizes are the vocabulary's tokens; documents within 4 bits of SimHash never share a bin."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
