@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import decontaminate, pack, quality, simhash
 from tessella.llm.common import scratch_dir, table
+from tessella.sources import files
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
+    """All stages over ``documents``; each stage's rows are written and read again, and a
+    stage's folder goes when the next one is written."""
     root = f"{scratch_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        if before:
+            files.delete(spark, f"{root}/{before}")
+        before = name
     return docs

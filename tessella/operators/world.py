@@ -198,8 +198,8 @@ def balanced_recipes(effects: DataFrame, causes: DataFrame, arity: int, seed: in
     order = stable_index(seed, "deck", F.col("epoch").cast("string"), json_string(F.col("cause_id")))
     # every deck is dealt whole, so these rows are as many as the recipes take up
     deck = causes.select("cause_id").join(F.broadcast(decks) if n >= 1000 else decks, how="cross").withColumn("o", order)
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy("o", "cause_id")) - 1
-    dealt = deck.withColumn("place", place).filter(F.col("place") < slots * arity)
+    ranked = hash_rank(deck, F.col("o"), "cause_id", ["epoch"], "_rank", "_total")  # a deck is spread over tasks
+    dealt = ranked.withColumn("place", F.col("_rank") - 1).filter(F.col("place") < slots * arity)
     index = F.col("epoch") * slots + F.floor(F.col("place") / arity)
     recipes = dealt.select(index.alias("relation_index"), (F.col("place") % arity).cast("bigint").alias("position"), "cause_id")
     kept = recipes.join(effects.select("relation_index"), "relation_index", "left_semi")

@@ -314,7 +314,7 @@ ORACLES = {
     "block_folder": """
 SELECT split, n // 32 AS blocks, n // 32 * 32 AS tokens, n // 32 AS said, 32 AS size, 'valid' AS eval_split
 FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'valid' ELSE 'train' END AS split, sum(length(c_name))::BIGINT AS n FROM customer GROUP BY 1)""",
-    "question_files": "SELECT 'train' AS split, s AS source, conv_id, turn, role FROM conversations, range(0, 3) AS r(s)",
+    "question_files": "SELECT 'train' AS split, s::INTEGER AS source, conv_id, turn, role FROM conversations, range(0, 3) AS r(s)",
     "config_values": "SELECT * FROM (VALUES ('experiment.name', 'y'), ('experiment.root', 'data/y'), ('world.n', '8'), ('world.tok', 'data/y/t'), ('sft.on', 'True')) AS v(name, value)",
     "checkpoint_pointer": "SELECT * FROM (VALUES ('step-0000015', FALSE, 15::BIGINT, 'complete'), ('step-0000020', TRUE, 20, 'complete')) AS v(name, latest, step, status)",
     "metrics_log": "SELECT 'run' AS run, step::BIGINT AS step, name, value::DOUBLE AS value FROM (VALUES (1, 'acc', 0.25), (1, 'loss', 1.5), (2, 'acc', 0.5), (2, 'loss', 0.75)) AS v(step, name, value)",
