@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import json
 import random
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -241,24 +240,30 @@ CALIBRATION = (
     ("The foundation was published in the paper as an example.", NONE),
 )
 
-_WORD, _END = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]", ".!?:;"
-#: What stands between the last word of a line that ends a sentence and the line's end.
-_ENDING = rf"(?<={_WORD})([\x00-\x09\x0B-\x20\x22-\x2D\x2F\x3C-\x3E\x40\x5B-\x60\x7B-\x7F]*+[{_END}][\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+)\n"
-_BLANK = r"(?<=\n)([\x09\x0B-\x0D\x20]*+)\n"
+_ENDS = ".!?:;"
+_SIGNS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c not in _ENDS)
 _CUT = "\x00"
 
 
 def paragraphs(text: str) -> list[str]:
     """What ``_paragraphs`` gives, in plain Python."""
-    ended = re.sub(_ENDING, rf"\1{_CUT}", text.replace(_CUT, " "))
-    return re.sub(_BLANK, rf"\1{_CUT}", ended).split(_CUT)
+    lines = text.replace(_CUT, " ").split("\n")
+    ends = lambda line: line.rstrip(_SIGNS)[-1:] in (*_ENDS,) and line.rstrip(_SIGNS + _ENDS) != ""
+    joined = [x + (_CUT if ends(x) or not x.rstrip(" \t\x0b\f\r") else "\n") for x in lines[:-1]]
+    return "".join([*joined, lines[-1]]).split(_CUT)
 
 
-def _paragraphs(text: Column) -> Column:
-    """Texts between the newlines that end a blank line or a line that ends a sentence."""
-    plain = F.translate(F.coalesce(text, F.lit("")), _CUT, " ")
-    ended = F.regexp_replace(plain, _ENDING, f"$1{_CUT}")
-    return F.split(F.regexp_replace(ended, _BLANK, f"$1{_CUT}"), _CUT)
+def _paragraphs(lines: Column) -> Column:
+    """The lines of a text, without the character 0, joined but where one is blank or ends a
+    sentence: its last word is followed by a sentence's sign. Only a line's end is looked at."""
+
+    def joined(line: Column, k: Column) -> Column:
+        own = F.rtrim(line, F.lit(_SIGNS))
+        ends = F.right(own, F.lit(1)).isin(*_ENDS) & (F.rtrim(own, F.lit(_SIGNS + _ENDS)) != "")
+        blank = F.rtrim(line, F.lit(" \t\x0b\f\r")) == ""
+        return F.when(k == F.size(lines) - 1, line).otherwise(F.concat(line, F.when(ends | blank, _CUT).otherwise("\n")))
+
+    return F.split(F.array_join(F.transform(lines, joined), ""), _CUT)
 
 
 def _words(text: str) -> list[str]:
@@ -385,7 +390,8 @@ def findings(docs: DataFrame) -> DataFrame:
     model = classifier()
     first = sorted({g[0] for g in model.shared})
     keys = [F.col("doc_id"), F.xxhash64("text").alias("_x"), F.octet_length("text").alias("_n")]
-    parts = docs.select(*keys, F.posexplode(_paragraphs(F.col("text"))).alias("paragraph", "_text"))
+    lines = docs.select(*keys, F.split(F.translate(F.coalesce("text", F.lit("")), _CUT, " "), "\n").alias("_lines"))
+    parts = lines.select("doc_id", "_x", "_n", F.posexplode(_paragraphs(F.col("_lines"))).alias("paragraph", "_text"))
     spots = parts.select("doc_id", "_x", "_n", "paragraph", words(F.col("_text")).alias("_w")).select(
         "doc_id", "_x", "_n", "paragraph", "_w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("_w") - 1, F.lit(1)))).alias("_p")
     )
