@@ -103,7 +103,7 @@ def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     at up to ``radius`` bits; compared in blocks, so memory is linear in the run."""
     n = len(values)
     label = np.arange(n)
-    block = max(1, (1 << 22) // n)
+    block = max(1, (1 << 18) // n)  # a few MB at a time
     while True:
         new = label.copy()
         for at in range(0, n, block):
