@@ -35,9 +35,10 @@ def test_small_coercions():
 
 def test_json_lines_and_documents(spark, tmp_path):
     rows = spark.createDataFrame([("a", None), ("b", "é")], "text string, family string")
-    tables.write_jsonl(rows, f"file://{tmp_path}/rows")
-    lines = [json.loads(x) for p in (tmp_path / "rows").glob("part-*") for x in p.read_text().splitlines()]
-    assert sorted(map(str, lines)) == sorted(map(str, [{"text": "a", "family": None}, {"text": "b", "family": "é"}]))
+    assert tables.write_jsonl(rows, f"file://{tmp_path}/rows") == 2
+    lines = [x for p in (tmp_path / "rows").glob("part-*") for x in p.read_text().splitlines()]
+    want = [{"text": "a", "family": None}, {"text": "b", "family": "é"}]
+    assert sorted(lines) == sorted(json.dumps(x, sort_keys=True, ensure_ascii=False, separators=(",", ":")) for x in want)
     assert tables.read_jsonl(spark, f"file://{tmp_path}/rows", "text string, family string").count() == 2
     (tmp_path / "doc.json").write_text(json.dumps([{"cause_id": "C1", "surface": "soap"}], indent=2))
     assert tables.read_document(spark, f"file://{tmp_path}/doc.json", tables.CAUSE_SCHEMA).collect()[0].surface == "soap"
