@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import minhash
-from tessella.llm.common import materialise, materialise_texts
+from tessella.llm.common import materialise, materialise_texts, partitions
 from tessella.llm.components import connected_components
 
 RADIUS = 4
@@ -195,8 +195,10 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, run_limit: int
     the graph of all pairs within ``radius`` (at most 4) differing bits."""
     if not 0 <= radius <= 4:
         raise ValueError("the two segments are enough for up to 4 differing bits")
+    # few tasks hold the bare fingerprints, and each of them is filed 66 times
+    spread = distinct.repartition(partitions(distinct.sparkSession), "fp")
     found = materialise(
-        _filed(distinct)
+        _filed(spread)
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(_run_links(radius, run_limit), "u long, v long")
