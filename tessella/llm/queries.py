@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontaminate, html, licenses, minhash, pack, quality, simhash, tokens, warc
+from tessella.llm import chat, circulant, decontaminate, html, licenses, minhash, negatives, pack, quality, simhash, tokens, warc, whitening
 from tessella.llm.common import materialise, table
 
 #: Words a shingle in op1's contract.
@@ -170,6 +170,67 @@ FROM t JOIN stay USING (conv_id) GROUP BY conv_id
 """
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", negatives.moved_label(vec_id, F.col("label")).alias("label"), "embedding")
+    return negatives.hard_negatives(rows, vec_id % 100 == 0)
+
+
+OP11_SQL = """
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, list_dot_product(a.x, b.x)::BIGINT AS score
+    FROM e AS a JOIN e AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+    SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score
+    FROM s WHERE label = anchor_label
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND label <> p.anchor_label
+    AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[]
+        ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda p: array_to_string(w[p : p + 3], ' ')))) END AS s FROM w
+), c AS (
+    SELECT row_number() OVER () AS cid, s, min(doc_id) AS first_id FROM s WHERE len(s) > 0 GROUP BY s
+), x AS (
+    SELECT cid, len(s) AS n, unnest(s) AS g FROM c
+), e AS (
+    SELECT a.cid AS u, b.cid AS v FROM x AS a JOIN x AS b ON a.g = b.g AND a.cid <> b.cid GROUP BY a.cid, b.cid, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+    SELECT cid, cid AS other FROM c UNION SELECT r.cid, e.v FROM r JOIN e ON r.other = e.u
+), k AS (
+    SELECT r.cid, min(c.first_id) AS component_id FROM r JOIN c ON c.cid = r.other GROUP BY r.cid
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE component_id END AS component_id,
+       s.doc_id IS NOT DISTINCT FROM CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE component_id END AS kept
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN k ON k.cid = c.cid
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -181,6 +242,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
+    "op11_negatives": op11_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_circulant": op13_circulant,
     "minhash_near_duplicates": minhash_near_duplicates,
     "packing_audit": packing_audit,
 }
@@ -191,4 +255,6 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op10_chat": OP10_SQL,
+    "op11_negatives": OP11_SQL,
+    "op13_circulant": OP13_SQL,
 }
