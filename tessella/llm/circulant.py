@@ -9,8 +9,10 @@ element-wise least of windows.
 Rows of equal sets are one node. Nodes that share a band of ``WIDTH`` coordinates may be near;
 a pair at 0.8 shares none of the ``BANDS`` once in 2e7. A run, the nodes of one band value, of
 up to ``PAIRS_UP_TO`` gives its own pairs. A longer one gives a star: each member with the
-run's hub, so its pairs grow with its members; whatever stays apart in it afterwards is
-compared in blocks, the members outside the run's largest component with all. Every link is
+run's hub, the member that shares the most over all runs, so its pairs grow with its members.
+Whatever stays apart in it afterwards is compared in blocks, the members outside the run's
+largest component with all; runs with the same largest component are one where that asks for
+no more comparisons. Every link is
 counted over both sets of shingles; components are those of all links.
 
 Rows: null text is empty. A text with fewer words than a shingle is one shingle. A document
@@ -46,6 +48,8 @@ SEED = 20_250_301
 MARGIN = 0.2
 #: Nodes of a run up to which its pairs are all proposed, and of a block of a longer one.
 PAIRS_UP_TO, BLOCK = 32, 512
+#: Hashes in the sets of a block's members.
+BLOCK_HASHES = 1 << 21
 #: Rows whose sets are wanted up to which they are broadcast, so that no text is shuffled.
 BROADCAST_ROWS = 1_000_000
 _AT_ONCE = 4096  # windows, 2 MB
@@ -127,23 +131,30 @@ def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def block_links(least: float, similarity: float):
-    """Over rows (key, band, i, j, left, node, root, signature, set) sorted by the first four: the
-    own pairs of a left and another row whose roots differ, counted over their sets."""
+    """Over rows (run, band, i, j, left, node, root, signature, set) sorted by the first four: the
+    pairs of a left and another row whose roots differ, counted over their sets; with a band,
+    those that first agree there. A link for each two roots."""
 
-    def flush(head: tuple, rows: list[tuple]) -> pa.RecordBatch | None:
+    def near(x: np.ndarray, y: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+        if band >= 0:
+            return owned(x, y, band, least)
+        found = [np.flatnonzero((y == one).sum(axis=1) >= least * x.shape[1]) for one in x]
+        return np.repeat(np.arange(len(x)), [len(f) for f in found]), np.concatenate(found)
+
+    def flush(band: int, rows: list[tuple]) -> pa.RecordBatch | None:
         left, right = [r for r in rows if r[0]], [r for r in rows if not r[0]]
         if not left or not right:
             return None
         x, y = (np.frombuffer(b"".join(r[3] for r in side), np.uint16).reshape(len(side), -1) for side in (left, right))
-        i, j = owned(x, y, head[1], least)
+        i, j = near(x, y, band)
         (p, rp), (q, rq) = ((np.array([r[1] for r in side], np.int64), np.array([r[2] for r in side], np.int64)) for side in (left, right))
         apart = rp[i] != rq[j]
         i, j = i[apart], j[apart]
         if not len(i):
             return None
-        near = similar(i, j, [r[4].values.to_numpy() for r in left], [r[4].values.to_numpy() for r in right], similarity)
-        # a link for each two components is enough
-        ends = {(min(a, b), max(a, b)): (u, v) for a, b, u, v in zip(rp[i[near]], rq[j[near]], p[i[near]], q[j[near]])}
+        alike = similar(i, j, [r[4].values.to_numpy() for r in left], [r[4].values.to_numpy() for r in right], similarity)
+        i, j = i[alike], j[alike]
+        ends = {(min(a, b), max(a, b)): (u, v) for a, b, u, v in zip(rp[i], rq[j], p[i], q[j])}
         u, v = ([e[c] for e in ends.values()] for c in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -153,40 +164,53 @@ def block_links(least: float, similarity: float):
             columns = [c if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
             for r in zip(*columns):
                 if r[:4] != head:
-                    if rows and (made := flush(head, rows)):
+                    if rows and (made := flush(head[1], rows)):
                         yield made
                     head, rows = r[:4], []
                 rows.append(r[4:])
-        if rows and (made := flush(head, rows)):
+        if rows and (made := flush(head[1], rows)):
             yield made
 
     return run
 
 
-def _left_apart(long: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame, shingle: int, percent: int, block: int) -> DataFrame | None:
-    """Links (u, v) between components within the runs ``long`` (key, m, node) that are not one
-    component yet: members outside a run's largest are compared with all of it, in blocks."""
-    rooted = materialise(long.join(_with_roots(nodes.select("node"), roots), "node"))
+def _apart(long: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(run, band, node, size, root, outside): members of the runs ``long`` (key, node) that are not
+    one component yet, and whether they are outside the run's largest. Runs that share it are
+    put together, without a band, where members outside times members is no more then."""
+    rooted = materialise(long.select("key", "node").join(_with_roots(nodes.select("node", "size"), roots), "node"))
     counts = rooted.groupBy("key", "root").agg(F.count("*").alias("held"))
-    main = materialise(counts.groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("m")).filter("most < m"))
-    if main.isEmpty():
-        return None
-    rows = rooted.select("key", "node", "root").join(main, "key")
-    part = lambda size: F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.ceil(size / block), F.lit(1))).cast("int")
-    parts = lambda size: F.sequence(F.lit(0), F.greatest(F.ceil(size / block), F.lit(1)).cast("int") - 1)
-    few = F.col("m") - F.col("most")
-    cells = lambda side, i, j: side.withColumn("i", i).withColumn("j", j)
-    left = cells(rows.filter("root <> main"), part(few), F.explode(parts(F.col("m")))).withColumn("left", F.lit(True))
-    right = cells(rows, F.explode(parts(few)), part(F.col("m"))).withColumn("left", F.lit(False))
-    order = ["key", "band", "i", "j"]
-    dealt = left.unionByName(right).select("key", F.col("key").bitwiseAND(F.lit(BANDS - 1)).alias("band"), "i", "j", "left", "node", "root")
+    main = counts.groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("m"))
+    main = materialise(main.filter("most < m").select("key", "main", ((F.col("m") - F.col("most")) * F.col("m")).cast("double").alias("work")))
+    rows = materialise(rooted.join(main, "key").select("key", "main", "node", "size", "root", (F.col("root") != F.col("main")).alias("outside")))
+    members = rows.select("main", "node", "outside").distinct().groupBy("main").agg((F.count_if("outside") * F.count("*")).cast("double").alias("whole"))
+    joint = materialise(members.join(main.groupBy("main").agg(F.sum("work").alias("work")), "main").select("main", (F.col("whole") <= F.col("work")).alias("joint")))
+    band = F.col("key").bitwiseAND(F.lit(BANDS - 1))
+    named = rows.join(joint, "main").select(F.when(F.col("joint"), F.col("main")).otherwise(F.col("key")).alias("run"), F.when(F.col("joint"), -1).otherwise(band).alias("band"), "node", "size", "root", "outside")
+    return materialise(named.distinct())
+
+
+def _left_apart(rows: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
+    """Links (u, v) between components within the runs of ``rows`` (``_apart``): members outside a
+    run's largest, in blocks of ``block``, are compared with all of it, in blocks of four times as many."""
+    count = lambda what, held, size: F.greatest(F.ceil(held / what), F.ceil(size / BLOCK_HASHES)).cast("int")
+    few = lambda x: F.sum(F.when(F.col("outside"), x).otherwise(0))
+    sizes = rows.groupBy("run", "band").agg(count(block, few(1), few(F.col("size"))).alias("is"), count(4 * block, F.count("*"), F.sum("size")).alias("js"))
+    cut = rows.join(materialise(sizes), ["run", "band"])
+    part = lambda of: F.pmod(F.xxhash64("node", F.lit(1)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = cut.filter("outside").withColumns({"i": part("is"), "left": F.lit(True)}).withColumn("j", every("js"))
+    right = cut.withColumns({"j": part("js"), "left": F.lit(False)}).withColumn("i", every("is"))
+    order = ["run", "band", "i", "j"]
+    dealt = left.unionByName(right).select(*order, "left", "node", "root")
     sets = _sets_of(rows.select("node"), nodes, docs, shingle)
     full = dealt.join(nodes.select("node", "signature").join(sets, "node"), "node").select(*order, "left", "node", "root", "signature", "shingles")
     return materialise(full.repartition(*order).sortWithinPartitions(*order).mapInArrow(block_links(percent / 100 - MARGIN, percent / 100), "u long, v long"))
 
 
 def _with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    """``nodes`` with the smallest node reachable from each."""
+    return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def links(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, pairs_up_to: int = PAIRS_UP_TO, block: int = BLOCK) -> DataFrame:
@@ -196,21 +220,23 @@ def links(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, pairs_u
     values = F.substring("signature", F.lit(1) + F.col("k").cast("int") * 2 * WIDTH, F.lit(2 * WIDTH))
     key = F.shiftleft(F.xxhash64("k", values), 5) + F.col("k")  # the low five bits tell the band
     filed = nodes.filter("size > 0").select("node", "signature", band.alias("k")).select(key.alias("key"), "node")
-    hub = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"))).alias("least")
     # written out, so that the join below shuffles both sides for itself and a long run is split
-    runs = materialise(filed.groupBy("key").agg(F.count("*").alias("m"), hub).filter("m > 1").select("key", "m", "least.hub"))
-    company = materialise(filed.join(runs, "key").select("key", "m", "hub", "node"))
+    runs = materialise(filed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
+    company = materialise(filed.join(runs, "key").select("key", "m", "node"))
     few = company.filter(F.col("m") <= pairs_up_to).join(nodes.select("node", "signature"), "node")
     few = few.select("key", F.col("key").bitwiseAND(F.lit(BANDS - 1)).alias("k"), "node", "signature")
-    near = few.repartition("key").sortWithinPartitions("key").mapInArrow(run_pairs(percent / 100 - MARGIN), "u long, v long")
+    pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(run_pairs(percent / 100 - MARGIN), "u long, v long")
     long = company.filter(F.col("m") > pairs_up_to)
-    stars = long.filter("node <> hub").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
-    pairs = materialise(near.unionByName(stars).distinct())
-    found = _counted(pairs, _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")), nodes, docs, shingle), percent)
+    star = lambda rows: rows.filter("node <> hub").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
+    alike = lambda pairs: _counted(pairs, _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")), nodes, docs, shingle), percent)
     if long.isEmpty():
-        return found
-    more = _left_apart(long.select("key", "node"), nodes, connected_components(found), docs, shingle, percent, block)
-    return found if more is None else found.unionByName(more)
+        return alike(materialise(pairs.distinct()))
+    weight = materialise(long.groupBy("node").agg(F.sum("m").alias("weight")))
+    hub = F.max_by("node", F.struct("weight", F.xxhash64("node"))).alias("hub")
+    hubs = materialise(long.select("key", "node").join(weight, "node").groupBy("key").agg(hub))
+    found = alike(materialise(pairs.unionByName(star(long.join(hubs, "key"))).distinct()))
+    apart = _apart(long, nodes, connected_components(found))
+    return found if apart.isEmpty() else found.unionByName(_left_apart(apart, nodes, docs, shingle, percent, block))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, pairs_up_to: int = PAIRS_UP_TO, block: int = BLOCK) -> DataFrame:
