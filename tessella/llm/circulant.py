@@ -10,9 +10,8 @@ Rows of equal sets are one node. Nodes that share a band of ``WIDTH`` coordinate
 a pair at 0.8 shares none of the ``BANDS`` once in 2e7. A run, the nodes of one band value, of
 up to ``PAIRS_UP_TO`` gives its own pairs. A longer one gives a star: each member with the
 run's hub, the member that shares the most over all runs, so its pairs grow with its members.
-Whatever stays apart in it afterwards is compared in blocks, the members outside the run's
-largest component with all; runs with the same largest component are one where that asks for
-no more comparisons. Every link is
+Members that are not linked with the hub are compared with all others in blocks; runs with the
+same hub are one where that asks for no more comparisons. Every link is
 counted over both sets of shingles; components are those of all links.
 
 Rows: null text is empty. A text with fewer words than a shingle is one shingle. A document
@@ -133,7 +132,7 @@ def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def block_links(least: float, similarity: float):
     """Over rows (run, band, i, j, left, node, root, signature, set) sorted by the first four: the
     pairs of a left and another row whose roots differ, counted over their sets; with a band,
-    those that first agree there. A link for each two roots."""
+    those that first agree there. As links (u, v) a spanning forest of the roots."""
 
     def near(x: np.ndarray, y: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
         if band >= 0:
@@ -153,10 +152,19 @@ def block_links(least: float, similarity: float):
         if not len(i):
             return None
         alike = similar(i, j, [r[4].values.to_numpy() for r in left], [r[4].values.to_numpy() for r in right], similarity)
-        i, j = i[alike], j[alike]
-        ends = {(min(a, b), max(a, b)): (u, v) for a, b, u, v in zip(rp[i], rq[j], p[i], q[j])}
-        u, v = ([e[c] for e in ends.values()] for c in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        ids, ends = np.unique(np.concatenate([rp[i[alike]], rq[j[alike]]]), return_inverse=True)
+        u, v = np.split(ends, 2)
+        label = np.arange(len(ids))
+        while True:
+            new, low = label.copy(), np.minimum(label[u], label[v])
+            np.minimum.at(new, u, low)
+            np.minimum.at(new, v, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, rows = None, []
@@ -174,25 +182,27 @@ def block_links(least: float, similarity: float):
     return run
 
 
-def _apart(long: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(run, band, node, size, root, outside): members of the runs ``long`` (key, node) that are not
-    one component yet, and whether they are outside the run's largest. Runs that share it are
-    put together, without a band, where members outside times members is no more then."""
-    rooted = materialise(long.select("key", "node").join(_with_roots(nodes.select("node", "size"), roots), "node"))
-    counts = rooted.groupBy("key", "root").agg(F.count("*").alias("held"))
-    main = counts.groupBy("key").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.max("held").alias("most"), F.sum("held").alias("m"))
-    main = materialise(main.filter("most < m").select("key", "main", ((F.col("m") - F.col("most")) * F.col("m")).cast("double").alias("work")))
-    rows = materialise(rooted.join(main, "key").select("key", "main", "node", "size", "root", (F.col("root") != F.col("main")).alias("outside")))
-    members = rows.select("main", "node", "outside").distinct().groupBy("main").agg((F.count_if("outside") * F.count("*")).cast("double").alias("whole"))
-    joint = materialise(members.join(main.groupBy("main").agg(F.sum("work").alias("work")), "main").select("main", (F.col("whole") <= F.col("work")).alias("joint")))
-    band = F.col("key").bitwiseAND(F.lit(BANDS - 1))
-    named = rows.join(joint, "main").select(F.when(F.col("joint"), F.col("main")).otherwise(F.col("key")).alias("run"), F.when(F.col("joint"), -1).otherwise(band).alias("band"), "node", "size", "root", "outside")
-    return materialise(named.distinct())
+def _apart(long: DataFrame, hubs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(run, band, node, size, root, outside): members of the runs ``long`` (key, node) that their
+    hub's star has not made one: outside, and their own root, are those that are not linked with
+    the hub. Runs of one hub are put together, without a band, where members outside times
+    members is no more then."""
+    linked = found.select(F.explode(F.array(F.struct(F.col("u").alias("hub"), F.col("v").alias("node")), F.struct(F.col("v").alias("hub"), F.col("u").alias("node")))).alias("l"))
+    linked = linked.select("l.*", F.lit(True).alias("near"))
+    placed = long.select("key", "node").join(hubs, "key").join(linked, ["hub", "node"], "left").withColumn("outside", F.col("near").isNull() & (F.col("node") != F.col("hub")))
+    placed = materialise(placed.select("key", "hub", "node", "outside"))
+    few, joint = F.count_if("outside"), F.col("whole") <= F.col("work")
+    work = placed.groupBy("key", "hub").agg(few.alias("few"), (few * F.count("*")).cast("double").alias("work")).filter("few > 0")
+    whole = placed.select("hub", "node", "outside").distinct().groupBy("hub").agg((few * F.count("*")).cast("double").alias("whole"))
+    joined = materialise(work.groupBy("hub").agg(F.sum("work").alias("work")).join(whole, "hub").select("hub", joint.alias("joint")))
+    open_ = materialise(work.join(joined, "hub").select("key", F.when(F.col("joint"), F.col("hub")).otherwise(F.col("key")).alias("run"), F.when(F.col("joint"), -1).otherwise(F.col("key").bitwiseAND(F.lit(BANDS - 1))).alias("band")))
+    rows = placed.join(open_, "key").select("run", "band", "node", F.when(F.col("outside"), F.col("node")).otherwise(F.col("hub")).alias("root"), "outside").distinct()
+    return materialise(rows.join(nodes.select("node", "size"), "node"))
 
 
 def _left_apart(rows: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
-    """Links (u, v) between components within the runs of ``rows`` (``_apart``): members outside a
-    run's largest, in blocks of ``block``, are compared with all of it, in blocks of four times as many."""
+    """Links (u, v) within the runs of ``rows`` (``_apart``): members outside, in blocks of ``block``,
+    are compared with all of the run, in blocks of four times as many."""
     count = lambda what, held, size: F.greatest(F.ceil(held / what), F.ceil(size / BLOCK_HASHES)).cast("int")
     few = lambda x: F.sum(F.when(F.col("outside"), x).otherwise(0))
     sizes = rows.groupBy("run", "band").agg(count(block, few(1), few(F.col("size"))).alias("is"), count(4 * block, F.count("*"), F.sum("size")).alias("js"))
@@ -235,7 +245,7 @@ def links(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int, pairs_u
     hub = F.max_by("node", F.struct("weight", F.xxhash64("node"))).alias("hub")
     hubs = materialise(long.select("key", "node").join(weight, "node").groupBy("key").agg(hub))
     found = alike(materialise(pairs.unionByName(star(long.join(hubs, "key"))).distinct()))
-    apart = _apart(long, nodes, connected_components(found))
+    apart = _apart(long, hubs, found, nodes)
     return found if apart.isEmpty() else found.unionByName(_left_apart(apart, nodes, docs, shingle, percent, block))
 
 
