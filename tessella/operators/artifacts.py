@@ -13,7 +13,7 @@ from tessella.sources import config, files
 
 REGISTRY_SCHEMA = "created_utc string, artifact_type string, artifact_id string, family string, path string"
 READY, MISSING, MISMATCH, RESUMABLE, ERROR = "ready", "missing", "mismatch", "resumable", "error"
-EXIT_CODES = {"ready": 0, "complete": 0, "missing": 1, "mismatch": 2, "resumable": 3, "error": 4}
+EXIT_CODES = {"ready": 0, "complete": 0, "missing": 1, "mismatch": 2, "resumable": 3, "error": 4, "stale": 5}
 
 
 def prepare_output(spark: SparkSession, path: str, overwrite: bool) -> None:

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from tessella.functions import tokenizers, vocab
 from tessella.functions.hashing import canonical_json_sha256
-from tessella.operators import artifacts, corpus, evaluation, packing, policies, world
+from tessella.operators import artifacts, corpus, evaluation, lineage, packing, policies, world
 from tessella.sources import config, files, tables
 from tessella.sources.scratch import materialise
 
-STAGES = ("world", "pretrain", "tokenize", "sft")
+STAGES = tuple(lineage.ABOVE)
 #: Defaults of a world's surfaces and relations; fixed values.
 SURFACE = {
     "cause_vocab_source": "tokenizer_english_words",
@@ -214,6 +214,7 @@ def create_world(spark: SparkSession, made: dict, at: str | None = None, overwri
         "num_effects": audit["num_effects"], "recipe_arity": made["world"]["recipe_arity"], "restricted_fraction": float(made["partition"]["restricted_fraction"]),
     }
     files.write_json(spark, f"{at}/world_manifest.json", manifest)
+    lineage.record(spark, "world", at, _lasting(made), {})
     return at
 
 
@@ -314,6 +315,7 @@ def build_pretrain(spark: SparkSession, cfg: dict, world_dir: str) -> str:
         "created_utc": _now(), "total_records": records, "token_budget": budget, "train_fraction": share, "pattern_policy": policy, "counts": audit["counts"],
         "eval": {"memory_records": memory, "memory_records_written": held, "template_examples_per_pattern": template, "template_records": probes},
     }
+    lineage.record(spark, "pretrain", at, signature(cfg, "pretrain", manifest["world_id"]), {"world": world_dir})
     files.write_json(spark, f"{at}/pretrain_manifest.json", out)
     _register(spark, cfg, out, at)
     return at
@@ -333,6 +335,7 @@ def _token_settings(cfg: dict) -> dict:
         "source_pretrain_dir": folder(cfg, "pretrain"), "block_size": int(t.get("block_size", 512)), "append_eos": bool(t.get("append_eos", True)),
         "stream_batch_size": int(t.get("batch_size", 8192)), "text_column": "text", "tokenizer": str(model["name_or_path"] if config.is_absent(name) else name),
         "max_records": config.optional_int(t.get("max_records"), 1),
+        "source_files": {s: [f"{folder(cfg, 'pretrain')}/rows/split={s}"] for s in ("train", "validation")},
     }
 
 
@@ -354,6 +357,7 @@ def build_tokenized(spark: SparkSession, cfg: dict, pretrain_dir: str) -> str:
     tables.write_blocks(blocks, at, {**settings, "fingerprint": print_of}, mode="overwrite")
     name = str(cfg["tokenize"].get("artifact_id") or f"tok-{pretrain_dir.rstrip('/').rsplit('/', 1)[-1]}-bs{settings['block_size']}")
     manifest = {"artifact_type": "tokenized_pretrain", "artifact_id": name, "source_pretrain_dir": pretrain_dir, "created_utc": _now(), "output_path": at}
+    lineage.record(spark, "tokenize", at, settings, {"pretrain": pretrain_dir})
     files.write_json(spark, f"{at}/tokenized_manifest.json", manifest)
     _register(spark, cfg, manifest, at)
     return at
@@ -411,6 +415,7 @@ def build_sft(spark: SparkSession, cfg: dict, world_dir: str) -> str:
         "artifact_type": "sft_corpus", "artifact_id": str(cfg["sft"].get("artifact_id") or f"sft-{family}-{s['chat_template']}"), "family": family, "world_id": world_id,
         "created_utc": _now(), **{k: v for k, v in s.items() if k != "seed"}, "test_relation_count": test.count(), "pattern_policy": policy, "counts": audit["counts"],
     }
+    lineage.record(spark, "sft", at, signature(cfg, "sft", world_id), {"world": world_dir})
     files.write_json(spark, f"{at}/sft_manifest.json", out)
     _register(spark, cfg, out, at)
     return at
@@ -468,12 +473,17 @@ def _number(value: object) -> object:
     return None if config.is_absent(value) else float(value)
 
 
+def _lasting(made: dict) -> dict:
+    """A world's settings without whether to overwrite it."""
+    out = copy.deepcopy(made)
+    out["world"].pop("overwrite", None)
+    return out
+
+
 def signature(cfg: dict, stage: str, world_id: str | None = None) -> dict:
     """What makes two builds of a stage the same."""
     if stage == "world":
-        made = copy.deepcopy(world_config(cfg))
-        made["world"].pop("overwrite")
-        return made
+        return _lasting(world_config(cfg))
     if stage == "tokenize":
         return _token_settings(cfg)
     family = _family(cfg)
@@ -491,7 +501,16 @@ def signature(cfg: dict, stage: str, world_id: str | None = None) -> dict:
 
 
 def check(spark: SparkSession, cfg: dict, stage: str) -> dict:
-    """Status of a stage's folder for a configuration: ready, missing (with what) or mismatch."""
+    """Status of a stage's folder for a configuration: ready, missing (with what), mismatch, or
+    stale (with the stages above that have changed since)."""
+    found = _check_settings(spark, cfg, stage)
+    if found["status"] != artifacts.READY:
+        return found
+    changed = lineage.stale(spark, stage, folder(cfg, stage), {s: folder(cfg, s) for s in STAGES})
+    return {**found, "status": lineage.STALE, "changed": changed} if changed else found
+
+
+def _check_settings(spark: SparkSession, cfg: dict, stage: str) -> dict:
     if stage not in STAGES:
         raise ValueError(f"unknown stage {stage!r}")
     at, above = folder(cfg, stage), f"{folder(cfg, 'world')}/world_manifest.json"
@@ -507,8 +526,7 @@ def check(spark: SparkSession, cfg: dict, stage: str) -> dict:
         return {"stage": stage, "status": artifacts.MISSING, "missing": gone}
     if stage == "world":
         saved = config.parse(files.read_text(spark, f"{at}/generation_config.yaml"))
-        saved["world"].pop("overwrite", None)
-        return artifacts.compared(stage, signature(cfg, stage), saved)
+        return artifacts.compared(stage, signature(cfg, stage), _lasting(saved))
     if stage == "tokenize":
         info = files.read_json(spark, f"{at}/metadata.json")
         want = signature(cfg, stage)

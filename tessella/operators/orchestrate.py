@@ -11,7 +11,7 @@ from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from pyspark.sql import SparkSession
 
 from tessella.functions import tokenizers
-from tessella.operators import artifacts, build, policies
+from tessella.operators import artifacts, build, lineage, policies
 from tessella.sources import config, files
 
 #: Settings of the canonical experiment; the others are it with changes. Fixed values.
@@ -30,6 +30,10 @@ RECIPES = {
 }
 
 
+#: Files by which a folder is known as one of a build, finished or not.
+OWN = (lineage.RECORD, "generation_config.yaml", "dataset_config.yaml", "metadata.json", "rows", "vocab", "blocks")
+
+
 def bound(cfg: dict, settings: Mapping[str, object]) -> dict:
     """A copy of the configuration with dotted settings put in."""
     out = copy.deepcopy(cfg)
@@ -51,33 +55,35 @@ def recipe(cfg: dict, name: str) -> dict:
 
 
 def ensure(spark: SparkSession, cfg: dict) -> dict[str, str]:
-    """Build the stages that are missing, in order, and leave those that are ready; what was
-    done with each. A stage that was built with other settings is an error, unless the
-    settings say to overwrite it. Whatever follows a stage that was built is built again."""
+    """Build the stages that are missing or stale, in order, and leave those that are ready; what
+    was done with each. A stage that was built with other settings is an error, unless the
+    settings say to overwrite it, and so is a folder that no build of ours has left. Whatever is
+    made from a stage that was built is built again."""
     done: dict[str, str] = {}
-    fresh = False
     for stage in build.STAGES:
         if not (cfg.get(stage) or {}).get("enabled", True):
             done[stage] = "disabled"
             continue
-        status = build.check(spark, cfg, stage)["status"]
+        status, at = build.check(spark, cfg, stage)["status"], build.folder(cfg, stage)
+        fresh = any(done.get(above) == "built" for above in lineage.ABOVE[stage])
         if status == artifacts.READY and not fresh:
             done[stage] = "ready"
             continue
         again = bool((cfg.get(stage) or {}).get("overwrite", (cfg.get("experiment") or {}).get("overwrite", False)))
         if status == artifacts.MISMATCH and not (again or fresh):
             raise ValueError(f"{stage} was built with other settings")
+        if status == artifacts.MISSING and not again and files.names(spark, at) and not any(files.exists(spark, f"{at}/{n}") for n in OWN):
+            raise FileExistsError(f"{at} holds files that no build has left")
         own = bound(cfg, {f"{stage}.overwrite": True})
         if stage == "world":
-            build.create_world(spark, build.world_config(own), build.folder(own, stage), True)
-            fresh = True  # all other stages are made from it
+            build.create_world(spark, build.world_config(own), at, True)
         elif stage == "pretrain":
             build.build_pretrain(spark, own, build.folder(own, "world"))
         elif stage == "tokenize":
             build.build_tokenized(spark, own, build.folder(own, "pretrain"))
         else:
             build.build_sft(spark, own, build.folder(own, "world"))
-        save = f"{build.folder(cfg, stage)}/dataset_config.yaml"
+        save = f"{at}/dataset_config.yaml"
         if files.exists(spark, save):
             build.save_config(spark, cfg, save)  # as asked for, without our own overwrite
         done[stage] = "built"

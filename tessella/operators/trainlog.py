@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import permute
+
 
 def perplexity(loss: Column) -> Column:
     """exp of the loss, capped at 20; NaN stays NaN."""
@@ -63,6 +65,22 @@ def batched(rows: DataFrame, order: str, size: int, drop_last: bool = False) ->
     return marked.join(whole, "batch", "left_semi")
 
 
+def epoch_batches(rows: DataFrame, number: str, total: int, size: int, seed: int, epoch: int = 0, skip: int = 0, drop_last: bool = True) -> DataFrame:
+    """``rows``, which carry a dense 0-based ``number`` below ``total``, with their ``place`` in the
+    shuffled epoch and their ``batch``, from batch ``skip`` on. The place is a keyed permutation
+    of the number, so nothing is sorted or counted, and resuming reads no batch that is done."""
+    placed = rows.withColumn("place", permute.permuted(F.col(number), total, seed, "epoch", epoch))
+    end = total - total % size if drop_last else total
+    kept = placed.filter((F.col("place") >= skip * size) & (F.col("place") < end))
+    return kept.withColumn("batch", F.call_function("div", F.col("place"), F.lit(size)))
+
+
+def batch_numbers(spark: SparkSession, batch: int, size: int, total: int, seed: int, epoch: int = 0) -> DataFrame:
+    """(place, number) of one batch, found from its places alone."""
+    places = spark.range(batch * size, min(total, (batch + 1) * size)).withColumnRenamed("id", "place")
+    return places.withColumn("number", permute.unpermuted(F.col("place"), total, seed, "epoch", epoch))
+
+
 # -- checkpoints ----------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import vocab
+from tessella.functions import permute, vocab
 from tessella.functions.hashing import json_string, stable_index
 from tessella.operators.packing import offsets
 from tessella.operators.sampling import half_even, hash_rank
@@ -211,32 +211,38 @@ def balanced_recipes(effects: DataFrame, causes: DataFrame, arity: int, seed: in
     return kept
 
 
-def drawn_recipes(
-    effects: DataFrame, causes: DataFrame, arity: int, seed: int, replacement: bool = False, unique: bool = True, attempts: int = 1000
-) -> DataFrame:
-    """(relation_index, recipe array<string>): independent draws, repeated for recipes that
-    are taken until all are unique. ``causes`` carries cause_index from 0."""
+def drawn_recipes(effects: DataFrame, causes: DataFrame, arity: int, seed: int, replacement: bool = False, unique: bool = True, attempts: int | None = None) -> DataFrame:
+    """(relation_index, recipe array<string>): a draw for each effect. ``causes`` carries
+    cause_index from 0.
+
+    A recipe is a number in a mixed base: a digit for each spot, which counts the causes that are
+    still free there. Unique recipes take their numbers from a keyed permutation of all there are,
+    so that none repeats and no row waits for another; if there are more than ``permute.MOST``,
+    the leading spots alone are numbered so, and the others are drawn. ``attempts`` is accepted
+    for callers of the earlier rounds of drawing; nothing is drawn twice now."""
     n = causes.count()
     if not 0 < arity <= n:
         raise ValueError("arity must be positive and at most the number of causes")
-    spread = F.array(*[F.lit(k) for k in range(arity if replacement else 4 * arity + 8)])
-    taken, waiting = None, effects.select("relation_index")
-    for attempt in range(attempts):
-        draw = lambda k: (stable_index(seed, "draw", F.col("relation_index").cast("string"), attempt, k.cast("string")) % n).cast("long")  # noqa: B023, E731
-        drawn = F.transform(spread, draw)
-        picks = waiting.withColumn("_i", F.slice(drawn if replacement else F.array_distinct(drawn), 1, arity)).filter(F.size("_i") == arity)
-        if unique:
-            first = picks.groupBy("_i").agg(F.min("relation_index").alias("relation_index"))
-            fresh = first if taken is None else first.join(taken.select("_i"), "_i", "left_anti")
-        else:
-            fresh = picks
-        fresh = materialise(fresh.select("relation_index", "_i"))
-        taken = fresh if taken is None else taken.unionByName(fresh)
-        waiting = waiting.join(fresh, "relation_index", "left_anti")
-        if waiting.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"no unique recipe after {attempts} attempts")
+    bases = [n if replacement else n - k for k in range(arity)]
+    digits = [stable_index(seed, "draw", F.col("relation_index").cast("string"), 0, k) % base for k, base in enumerate(bases)]
+    if unique:
+        lead, space = 0, 1
+        while lead < arity and space * bases[lead] <= permute.MOST:
+            space, lead = space * bases[lead], lead + 1
+        least, most = effects.agg(F.min("relation_index"), F.max("relation_index")).first()
+        if most is not None and not 0 <= least <= most < space:
+            raise RuntimeError("recipes repeat: too few causes for unique recipes")
+        below = 1
+        for k in range(lead):
+            digits[k] = F.call_function("div", F.col("_rank"), F.lit(below)) % bases[k]
+            below *= bases[k]
+        effects = effects.select("relation_index", permute.permuted(F.col("relation_index"), space, seed, "draw").alias("_rank"))
+    taken = effects.withColumns({f"_{k}": d for k, d in enumerate(digits)})
+    if not replacement:  # the digit-th free cause: past every smaller one that is taken
+        for k in range(1, arity):
+            before = F.sort_array(F.array(*[F.col(f"_{j}") for j in range(k)]))
+            taken = taken.withColumn(f"_{k}", F.aggregate(before, F.col(f"_{k}"), lambda c, p: F.when(c >= p, c + 1).otherwise(c)))
+    taken = taken.select("relation_index", F.array(*[F.col(f"_{k}") for k in range(arity)]).alias("_i"))
     spots = taken.select("relation_index", F.posexplode("_i").alias("position", "cause_index"))
     named = spots.join(causes.select("cause_index", "cause_id"), "cause_index")
     return named.groupBy("relation_index").agg(F.sort_array(F.collect_list(F.struct("position", "cause_id"))).alias("r")).select(

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import vocab
+from tessella.functions import permute, vocab
 from tessella.functions.hashing import stable_index
-from tessella.operators import artifacts, build, packing, prediction, trainlog
+from tessella.operators import artifacts, build, orchestrate, packing, prediction, trainlog
 from tessella.operators.sampling import hash_rank
 from tessella.plans import corpora, sql, worlds
 from tessella.plans.worlds import SEED, table
@@ -149,6 +149,40 @@ def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, v["status"], artifacts.EXIT_CODES[v["status"]]) for k, v in found], "stage string, status string, code long")
 
 
+def build_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and outcome of the stages of a build over the tables' relations, with the tokens in a
+    folder of their own: at first, again, after the rows alone were made anew from other
+    settings, and after those settings were changed once more."""
+    at = _folder(spark)
+    n = _world_of_tables(spark, sf_dir, f"{at}/world")
+    cfg = lambda records, **more: orchestrate.bound(settings(at, target_records=records, **more), {"world.enabled": False, "sft.enabled": False, "tokenize.output_dir": f"{at}/tokens"})
+    found = []
+
+    def seen(when: str, own: dict, ensure: bool = True) -> None:
+        before = {s: build.check(spark, own, s)["status"] for s in ("pretrain", "tokenize")}
+        done = orchestrate.ensure(spark, own) if ensure else {}
+        blocks = tables.read_blocks(spark, f"{at}/tokens").count()
+        found.extend((when, s, b, done.get(s), blocks) for s, b in before.items())
+
+    seen("first", cfg(n))
+    seen("again", cfg(n))
+    build.build_pretrain(spark, cfg(corpora.ROUNDS * n, overwrite=True), f"{at}/world")
+    seen("rows_made_anew", cfg(corpora.ROUNDS * n), ensure=False)
+    seen("tokens_follow", cfg(corpora.ROUNDS * n))
+    seen("other_settings", cfg(n, overwrite=True))
+    return spark.createDataFrame(found, "moment string, stage string, status string, done string, blocks long")
+
+
+STATUS_SQL = f"""
+WITH t AS (SELECT split, sample_index, len({_IDS_SQL}) AS k FROM ({corpora.CORPUS_SQL})), m AS (SELECT count(*) AS n FROM ({worlds.relations_sql()})),
+s AS (SELECT split, sum(k) AS whole, sum(CASE WHEN sample_index < n THEN k ELSE 0 END) AS part FROM t, m GROUP BY split),
+b AS (SELECT sum(whole // {BLOCK})::BIGINT AS whole, sum(part // {BLOCK})::BIGINT AS part FROM s)
+SELECT moment, stage, status, done, CASE WHEN large THEN whole ELSE part END AS blocks
+FROM b, (VALUES ('first', 'pretrain', 'missing', 'built', FALSE), ('first', 'tokenize', 'missing', 'built', FALSE), ('again', 'pretrain', 'ready', 'ready', FALSE), ('again', 'tokenize', 'ready', 'ready', FALSE),
+    ('rows_made_anew', 'pretrain', 'ready', NULL, FALSE), ('rows_made_anew', 'tokenize', 'stale', NULL, FALSE), ('tokens_follow', 'pretrain', 'ready', 'ready', TRUE), ('tokens_follow', 'tokenize', 'stale', 'built', TRUE),
+    ('other_settings', 'pretrain', 'mismatch', 'built', FALSE), ('other_settings', 'tokenize', 'ready', 'built', FALSE)) AS v(moment, stage, status, done, large)"""
+
+
 def world_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = worlds.relations(spark, sf_dir, 2)
     found = build.audit_world(worlds.causes(spark, sf_dir), worlds.effects(spark, sf_dir), rel)
@@ -286,6 +320,20 @@ def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trainlog.batched(ranked.select("c_custkey", "place"), "place", 16, drop_last=True).select("c_custkey", "batch")
 
 
+def resumed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of a shuffled epoch from the third batch of 16 on."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    first, total = rows.agg(F.min("c_custkey"), F.count("*")).first()
+    numbered = rows.withColumn("number", F.col("c_custkey") - F.lit(first))
+    return trainlog.epoch_batches(numbered, "number", total, 16, SEED, epoch=1, skip=2).select("c_custkey", "place", "batch")
+
+
+RESUMED_SQL = f"""
+SELECT c_custkey, place, place // 16 AS batch
+FROM ({permute.permuted_sql("SELECT c_custkey, c_custkey - (SELECT min(c_custkey) FROM customer) AS number FROM customer", "number", "SELECT count(*) FROM customer", SEED, "epoch", 1)}), (SELECT count(*) AS n FROM customer)
+WHERE place >= 32 AND place < n // 16 * 16"""
+
+
 def accepted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 documents that are not blank."""
     return packing.accepted(table(spark, sf_dir, "documents"), "doc_id", max_records=50).select("doc_id")
@@ -295,11 +343,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         build_world, build_pretrain, build_tokenized, build_sft, token_budget_modes, stage_status, world_audit, jsonl_round_trip, document_round_trip, file_digests,
-        registry_rows, block_folder, question_files, config_values, checkpoint_pointer, metrics_log, predictions, shuffled_batches, accepted_records,
+        registry_rows, block_folder, question_files, config_values, checkpoint_pointer, metrics_log, predictions, shuffled_batches, accepted_records, resumed_batches, build_status,
     )
 }
 
 ORACLES = {
+    "build_status": STATUS_SQL,
+    "resumed_batches": RESUMED_SQL,
     "build_world": WORLD_SQL,
     "build_pretrain": f"SELECT sample_index, text, split FROM ({corpora.CORPUS_SQL})",
     "build_tokenized": TOKENIZED_SQL,

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import vocab
+from tessella.functions import permute, vocab
 from tessella.operators import world
 from tessella.plans import sql
 
@@ -189,6 +189,16 @@ def _draw_sql(k: int) -> str:
     return f"(SELECT cause_id FROM c WHERE cause_index = ({at}) % (SELECT count(*) FROM c))"
 
 
+_PLACES = "SELECT count(*) * (count(*) - 1) * (count(*) - 2) FROM supplier"
+UNIQUE_SQL = f"""
+WITH c AS ({CAUSES_SQL}), d AS (
+    SELECT relation_index, place % n AS a, place // n % (n - 1) AS b, place // (n * (n - 1)) % (n - 2) AS c
+    FROM ({permute.permuted_sql(EFFECTS_SQL, "relation_index", _PLACES, SEED, "draw")}), (SELECT count(*) AS n FROM supplier)
+), two AS (SELECT relation_index, a, b + (b >= a)::INT AS b, c FROM d),
+three AS (SELECT relation_index, a, b, c + (c >= least(a, b))::INT AS c FROM two),
+spots AS (SELECT relation_index, unnest([a, b, c + (c >= greatest(a, b))::INT]) AS cause_index, unnest([0, 1, 2]) AS position FROM three)
+SELECT relation_index, string_agg(cause_id, '|' ORDER BY position) AS causes FROM spots JOIN c USING (cause_index) GROUP BY relation_index"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -216,6 +226,7 @@ d AS (SELECT epoch, cause_id, row_number() OVER (PARTITION BY epoch ORDER BY {_D
 SELECT (epoch * slots + place // 2)::BIGINT AS relation_index, (place % 2)::BIGINT AS position, cause_id
 FROM d, s WHERE place < slots * 2 AND (epoch * slots + place // 2) IN (SELECT relation_index FROM e)""",
     "recipe_drawn": f"WITH e AS ({EFFECTS_SQL}), c AS ({CAUSES_SQL}) SELECT relation_index, concat({_draw_sql(0)}, '|', {_draw_sql(1)}) AS causes FROM e",
+    "recipe_unique_draws": UNIQUE_SQL,
     "world_audit_cause_usage": f"""
 WITH u AS (SELECT cause_id, count(*) AS n FROM (SELECT unnest(recipe_cause_ids) AS cause_id FROM ({relations_sql(2)})) GROUP BY 1)
 SELECT coalesce(min(n), 0)::BIGINT AS min_used, coalesce(max(n), 0)::BIGINT AS max_used, count(*)::BIGINT AS used_causes,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import tokenizers, vocab
-from tessella.operators import artifacts, build, corpus, evaluation, orchestrate, packing, prediction, world
+from tessella.operators import artifacts, build, corpus, evaluation, lineage, orchestrate, packing, prediction, world
 from tessella.sources import config, files, tables
 from tessella.streaming import counts, reservoir
 
@@ -202,6 +202,43 @@ def test_ensure_builds_what_is_missing(spark, tmp_path):
         orchestrate.ensure(spark, orchestrate.bound(cfg, {"pretrain.seed": 99}))
 
 
+def test_stages_follow_what_they_are_made_from(spark, tmp_path):
+    """Tokens in a folder of their own are made again whenever the rows are, by whatever hand."""
+    at = f"file://{tmp_path}"
+    cfg = fixture(at, **{"tokenize.output_dir": f"{at}/tokens", "pretrain.target_records": 200, "sft.enabled": False})
+    more = orchestrate.bound(cfg, {"pretrain.target_records": 400})
+    blocks = lambda: tables.read_blocks(spark, f"{at}/tokens").count()
+    assert set(orchestrate.ensure(spark, cfg).values()) == {"built", "disabled"}
+    few = blocks()
+    with pytest.raises(ValueError):
+        orchestrate.ensure(spark, more)
+    assert orchestrate.ensure(spark, orchestrate.bound(more, {"pretrain.overwrite": True})) == {"world": "ready", "pretrain": "built", "tokenize": "built", "sft": "disabled"}
+    assert blocks() > 1.5 * few
+    assert set(orchestrate.ensure(spark, more).values()) == {"ready", "disabled"}
+    build.build_pretrain(spark, orchestrate.bound(more, {"pretrain.overwrite": True}), f"{at}/world")
+    found = build.check(spark, more, "tokenize")
+    assert (found["status"], found["changed"]) == ("stale", ["pretrain"]) and artifacts.EXIT_CODES[found["status"]] == 5
+    assert orchestrate.ensure(spark, more) == {"world": "ready", "pretrain": "ready", "tokenize": "built", "sft": "disabled"}
+    files.delete(spark, f"{at}/tokens/lineage.json")  # of a build that kept no record
+    assert build.check(spark, more, "tokenize")["status"] == "stale"
+    build.create_world(spark, build.world_config(orchestrate.bound(more, {"world.overwrite": True})))  # the same content
+    assert build.check(spark, more, "pretrain")["status"] == "ready"
+    other = orchestrate.bound(more, {"world.seed": 12})
+    build.create_world(spark, build.world_config(orchestrate.bound(other, {"world.overwrite": True})))
+    assert build.check(spark, other, "pretrain")["status"] == "mismatch"  # its settings name the world
+    assert lineage.below("world") == ["pretrain", "tokenize", "sft"] and lineage.below("tokenize") == []
+
+
+def test_files_of_others_stay(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    cfg = fixture(at, **{"pretrain.enabled": False, "tokenize.enabled": False})
+    files.write_text(spark, f"{at}/exp/sft/notes.txt", "mine")
+    with pytest.raises(FileExistsError):
+        orchestrate.ensure(spark, cfg)
+    assert files.read_text(spark, f"{at}/exp/sft/notes.txt") == "mine"
+    assert orchestrate.ensure(spark, orchestrate.bound(cfg, {"sft.overwrite": True}))["sft"] == "built"
+
+
 def test_matrix_and_preflight(spark, tmp_path):
     log, gate = [], threading.Barrier(2, timeout=20)
     jobs = [lambda k=k: (gate.wait(), log.append(k), k)[2] for k in range(4)]  # each needs another beside it
