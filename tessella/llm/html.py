@@ -9,10 +9,12 @@ cannot give right results alone: mirrored articles, quoted passages and common h
 are shared as well, and pages without a neighbour keep their menus. So where a page has an
 article or main element the rest goes, and lines inside are kept, but for those that
 structure leaves in doubt: of an element whose class or id has a word such as "share" or
-"notice" among others or alone. In a page without such an element every line is in doubt.
+"notice", with which articles have names too, or any such word among others. Words such as
+"comments" or "advert" leave no doubt. A line in doubt that is a link for the most part goes,
+whatever neighbours have. In a page without such an element every line is in doubt.
 Pages are aligned, by a longest common subsequence of lines, with their neighbour: the next
 page of the same host in order of URL path, or the one before for a host's last page.
-Lines in doubt that they share go, unless no line were left.
+Lines in doubt that they share go as well; none goes where no line were left.
 
 Pages are shuffled once, into ranges of (host, path, page_id). No range starts with a
 host's last page, so every page meets its neighbour in one task, and a host of any size
@@ -53,6 +55,12 @@ NOT_ARTICLE = frozenset(
     "subscribe subscription signup login popup modal overlay paywall skip pagination pager contentinfo complementary search "
     "searchbox toolbar widget copyright".split()
 )
+#: Those of them that, even beside words of ``PARTS``, may as well name a subject.
+SUBJECTS = frozenset("alert disclaimer menu notice notices search".split())
+#: Those that, alone, may as well name a subject or be short for something else.
+SHORT = frozenset("ad ads aside banner consent copyright overlay promo promoted promotion recommended related reply respond share sharing skip social toc toolbar widget".split())
+#: Those that name reader comments, adverts or forms in any company.
+ALWAYS = frozenset("adverts advertisement commentlist comments disqus newsletter".split())
 #: Words that, beside one of ``NOT_ARTICLE``, name a part of the page and not a subject.
 PARTS = frozenset(
     "area bar block body box btn button buttons card container content form frame group head header icons inner item items "
@@ -69,44 +77,50 @@ _WORD = re.compile(r"[a-z]+")
 SURE, DOUBT = 2, 1
 
 
-def _marked(attributes: str) -> int:
-    """What class, id and role say: ``SURE``, the element is not the article if it stands
-    outside of one, and not inside either if a name holds nothing but such words, several of
-    them; ``DOUBT``, only some words say so; 0."""
+def _marked(attributes: str, own: bool = False) -> int:
+    """What class, id and role say: ``SURE``, the element is neither the article nor of it, as a
+    name holds nothing but such words, and not only ``SUBJECTS`` or one that is ``SHORT``, or
+    holds one of ``ALWAYS`` (which says nothing about an article element itself, its ``own``);
+    ``DOUBT``, only some words say so; 0."""
     found = 0
     for name, *value in _ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role"):
             for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(value)).lower().split():
                 words = _WORD.findall(token)
-                if not NOT_ARTICLE.isdisjoint(words):
-                    whole = name.lower() == "role" or len(words) > 1 and all(w in NOT_ARTICLE or w in PARTS for w in words)
-                    found = max(found, SURE if whole else DOUBT)
+                said = NOT_ARTICLE.intersection(words)
+                if said:
+                    whole = all(w in NOT_ARTICLE or w in PARTS for w in words) and not said <= (SUBJECTS if len(words) > 1 else SUBJECTS | SHORT)
+                    sure = whole or name.lower() == "role" or not own and not ALWAYS.isdisjoint(words)
+                    found = max(found, SURE if sure else DOUBT)
     if re.search(r"(?i)\bhidden(?=[\s=/]|\Z)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes):
         return SURE
     return found
 
 
 class Page:
-    """Lines of one page, and for each whether it is in ``doubt``; ``contained`` if the page has
-    an article or main element."""
+    """Lines of one page, and for each whether it is in ``doubt`` and whether it is in doubt and
+    mostly ``linked``; ``contained`` if the page has an article or main element."""
 
     def __init__(self, html: str):
-        inside: list[tuple[str, bool]] = []
-        every: list[tuple[str, bool]] = []
+        inside: list[tuple[str, bool, bool]] = []
+        every: list[tuple[str, bool, bool]] = []
         held: list[str] = []
         stack: list[tuple[str, bool, bool, bool]] = []  # name, starts a skip, a container, a doubt
         opened: dict[str, int] = {}
-        skip = box = doubt = 0
+        skip = box = doubt = links = 0
         contained = False
         at = 0
 
         def flush():
+            nonlocal links
             line = " ".join("".join(held).split())
+            linked = doubt > 0 and 2 * links > len(line)
             held.clear()
+            links = 0
             if line:
-                every.append((line, True))
+                every.append((line, True, linked))
                 if box:
-                    inside.append((line, doubt > 0))
+                    inside.append((line, doubt > 0, linked))
 
         while m := _TOKEN.match(html, at):
             at = m.end()
@@ -115,6 +129,8 @@ class Page:
                 if m[0][:1] != "<" or m[0] == "<":
                     if not skip:
                         held.append(references.unescape(m[0]))
+                        if doubt and opened.get("a"):
+                            links += len(held[-1].strip())
                 continue
             name = name.lower()
             if m[1]:  # an end tag closes the nearest element of its name, if one is open
@@ -147,7 +163,9 @@ class Page:
                 at = end.end() if end else len(html)
                 continue
             attributes = m[3]
-            mark = _marked(attributes) if attributes.strip() and name not in ("html", "body") else 0
+            outer = name in _CONTAINER and not box
+            mark = _marked(attributes, outer) if attributes.strip() and name not in ("html", "body") else 0
+            mark = 0 if outer and mark == DOUBT else mark
             # an article's own header holds its title
             skips = name in NO_TEXT or (name == "header" and not box) or mark == SURE or (mark == DOUBT and not box)
             role = re.search(r"(?i)\brole\s*=\s*[\"']?(main|article)\b", attributes) if attributes else None
@@ -164,8 +182,9 @@ class Page:
         flush()
         self.contained = contained
         kept = inside if contained else every
-        self.lines = [line for line, _ in kept]
-        self.doubt = [d for _, d in kept]
+        self.lines = [line for line, _, _ in kept]
+        self.doubt = [d for _, d, _ in kept]
+        self.linked = [k for _, _, k in kept]
 
 
 def _lengths(a: list[str], b: list[str]) -> list[int]:
@@ -216,14 +235,15 @@ def common(a: list[str], b: list[str]) -> list[int]:
 
 def main_text(page: Page, neighbour: Page | None) -> str:
     lines = page.lines
+    gone = {i for i, linked in enumerate(page.linked) if linked}
     if neighbour is not None and True in page.doubt:
         both = set(lines) & set(neighbour.lines)
         if both:
             mine = [i for i, x in enumerate(lines) if x in both]
             shared = common([lines[i] for i in mine], [x for x in neighbour.lines if x in both])
-            gone = {mine[i] for i in shared if page.doubt[mine[i]]}
-            if len(gone) < len(lines):
-                lines = [x for i, x in enumerate(lines) if i not in gone]
+            gone |= {mine[i] for i in shared if page.doubt[mine[i]]}
+    if gone and len(gone) < len(lines):
+        lines = [x for i, x in enumerate(lines) if i not in gone]
     return "\n\n".join(lines)
 
 

@@ -146,3 +146,26 @@ def test_odd_rows(spark):
     text = sorted((str(r.page_id), r.url or "", r.n_chars) for r in got)
     assert text == [("-5", "http://a/z", 1), ("1", "", 0), ("2", "", 0), ("3", "http://a/", 599_998), ("4", "http://a/", 1), ("4", "http://a/", 1), ("None", "not a url", 1)]
     assert html.extract(spark.createDataFrame([], PAGES)).collect() == []
+
+
+OWN_PARTS = """<article class="post comments-open"><h1>T {0}</h1><p>Body {0}</p>
+  <div class='comments'><p>Nice post, says reader {0}</p></div><section id="reader-comments"><p>Another of {0}</p></section>
+  <article class="comment"><p>Nested {0}</p></article><div id="disqus_thread"><p>Thread {0}</p></div>
+  <div class='advert'><p>Buy shoes {0}</p></div><p class="sponsored">From our partner {0}</p><div class="ad-slot">Ad {0}</div>
+  <div id='newsletter'><p>Join our letter {0}</p></div><div class="subscribe">Mail {0}</div><p class="cookie">Accept {0}</p>
+  <div class="menu-items"><p>Soup {0} EUR</p></div><p class="notice-block">Closed on day {0}</p><p class="search">Search went on {0}</p>
+  <ul class="related-posts"><li><a href="/x{0}">Other story {0}</a></ul><p class="share">Shares of <a href="/y">x</a> rose {0}</p>
+  <ul class="menu"><li><a href="/">Start {0}</a><li><a href="/b">Second {0}</a></ul><p>End {0} <a href="/z">with a long link to some place</a></p></article>"""
+
+
+def test_comments_adverts_and_forms_inside_an_article_go_without_a_neighbours_help(spark):
+    """Each page's own, so no neighbour shares them; what may be a subject stays, but for links."""
+    rows = [(k, f"http://a.org/{k}", OWN_PARTS.format(k), None, 0) for k in (1, 2)] + [(3, "http://b.org/", OWN_PARTS.format(3), None, 0)]
+    got = {r.page_id: r.text.split("\n\n") for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in (1, 2, 3):
+        assert got[k] == [f"T {k}", f"Body {k}", f"Soup {k} EUR", f"Closed on day {k}", f"Search went on {k}", f"Shares of x rose {k}", f"End {k} with a long link to some place"]
+
+
+def test_a_page_of_doubtful_links_keeps_them(spark):
+    only = [(1, "http://a.org/", '<article><ul class="menu"><li><a href="/">Only</a></ul></article>', None, 0)]
+    assert html.extract(spark.createDataFrame(only, PAGES)).first().text == "Only"
