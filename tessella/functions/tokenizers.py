@@ -7,6 +7,7 @@ Anything with the same three methods and two fields serves as well."""
 from __future__ import annotations
 
 import os
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -30,6 +31,15 @@ class Tokenizer(Protocol):
 
     def count(self, text: Column) -> Column: ...
 
+    def within(self, text: Column, spans: Column) -> Column:
+        """For each span (from, to) of characters (from 0), the same of tokens: those that share
+        a character with it, or none at the place where they would be."""
+        ...
+
+
+def _span(first: Column, after: Column) -> Column:
+    return F.struct(first.cast("int").alias("from"), after.cast("int").alias("to"))
+
 
 class WhiteSpace:
     """Words between white space (Unicode's); a word's number is its length."""
@@ -46,6 +56,13 @@ class WhiteSpace:
     def count(self, text: Column) -> Column:
         return F.size(self.words(text)).cast("bigint")
 
+    def within(self, text: Column, spans: Column) -> Column:
+        begun = lambda at: F.size(self.words(F.substring(text, F.lit(1), at)))
+        cut = lambda at: F.substring(text, at, F.lit(2)).rlike(r"(?U)\A\S\S\z").cast("int")  # a word goes on past ``at``
+        whole = lambda at: begun(at) - F.when(at > 0, cut(at)).otherwise(0)
+        empty = lambda s: s["from"] >= s["to"]
+        return F.transform(spans, lambda s: _span(whole(s["from"]), F.when(empty(s), whole(s["from"])).otherwise(begun(s["to"]))))
+
 
 _LOADED: dict[str, object] = {}
 
@@ -85,6 +102,23 @@ class Library:
     def count(self, text: Column) -> Column:
         return self._encoded(text, T.LongType(), len)
 
+    def within(self, text: Column, spans: Column) -> Column:
+        path = self.path
+
+        @F.pandas_udf("array<struct<from int, to int>>")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            encoder = _load(path)
+            for texts, asked in batches:
+                found = encoder.encode_batch([t or "" for t in texts], add_special_tokens=False)
+                out = []
+                for e, own in zip(found, asked):
+                    starts, ends = ([o[k] for o in e.offsets] for k in (0, 1))
+                    first = lambda s: bisect_right(ends, s["from"])  # noqa: B023, E731
+                    out.append([{"from": first(s), "to": max(first(s), bisect_left(starts, s["to"])) if s["from"] < s["to"] else first(s)} for s in ([] if own is None else own)])
+                yield pd.Series(out, index=texts.index)
+
+        return run(text, spans)
+
 
 def load(name: str, eos: str | None = None, pad: str | None = None) -> Tokenizer:
     """By name: white space, or the path of a library file. Padding falls back on the end mark."""

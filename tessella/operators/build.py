@@ -391,6 +391,7 @@ def _sft_settings(cfg: dict) -> dict:
 
 def build_sft(spark: SparkSession, cfg: dict, world_dir: str) -> str:
     at, family, s = folder(cfg, "sft"), _family(cfg), _sft_settings(cfg)
+    tokenizers.require_end(tokenizers.from_config(cfg), s["chat_template"])
     override, policy = cfg["sft"].get("patterns"), policies.sft_policy(family, cfg["sft"].get("patterns"))
     artifacts.prepare_output(spark, at, bool(_setting(cfg, "sft", "overwrite", False)))
     manifest, relations = load_world(spark, world_dir)

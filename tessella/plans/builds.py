@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import permute, vocab
+from tessella.functions import permute, tokenizers, vocab
 from tessella.functions.hashing import stable_index
-from tessella.operators import artifacts, build, orchestrate, packing, prediction, trainlog
+from tessella.operators import artifacts, build, loss, orchestrate, packing, prediction, trainlog
 from tessella.operators.sampling import hash_rank
 from tessella.plans import corpora, sql, worlds
 from tessella.plans.worlds import SEED, table
@@ -313,6 +313,34 @@ SELECT conv_id, md5(concat(array_to_string(list_transform(CASE WHEN a > 0 THEN m
        'A:' AS prediction FROM f"""
 
 
+def loss_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as rows of tokens with the assistant's alone as labels, by both templates."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    rows = rows.select("conv_id", F.transform("t", lambda x: F.struct(x.role.alias("role"), x.text.alias("content"))).alias("messages"))
+    out = None
+    for template in ("plain", "chatml"):
+        made = loss.with_loss_labels(rows, tokenizers.WhiteSpace(), template)
+        learned = F.filter("labels", lambda x: x != loss.IGNORED)
+        total = F.aggregate(learned, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        own = made.select("conv_id", F.lit(template).alias("template"), F.size("input_ids").alias("n_tokens"), F.size(learned).alias("n_learned"), total.alias("learned"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
+_LEARNED = {"plain": _WORDS.format("concat(text, ' <eos>')"), "chatml": _WORDS.format("concat(text, '<|im_end|> <eos>')")}
+_SHOWN = {
+    "plain": f"CASE role WHEN 'user' THEN {_WORDS.format("concat('Q: ', text)")} WHEN 'assistant' THEN {_WORDS.format("concat('A: ', text, ' <eos>')")} ELSE [] END",
+    "chatml": _WORDS.format("concat('<|im_start|>', role, chr(10), text, '<|im_end|>', CASE WHEN role = 'assistant' THEN ' <eos>' ELSE '' END)"),
+}
+LOSS_SQL = " UNION ALL ".join(
+    f"""SELECT conv_id, '{t}' AS template, sum(len({_SHOWN[t]}))::INTEGER AS n_tokens, sum(CASE WHEN role = 'assistant' THEN len({_LEARNED[t]}) ELSE 0 END)::INTEGER AS n_learned,
+    sum(CASE WHEN role = 'assistant' THEN list_sum(list_transform({_LEARNED[t]}, lambda w: length(w))) ELSE 0 END)::BIGINT AS learned FROM conversations GROUP BY conv_id"""
+    for t in ("plain", "chatml")
+)
+
+
 def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in hashed order, in whole batches of 16."""
     order = stable_index(SEED, "shuffle", F.col("c_custkey").cast("string"))
@@ -343,13 +371,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         build_world, build_pretrain, build_tokenized, build_sft, token_budget_modes, stage_status, world_audit, jsonl_round_trip, document_round_trip, file_digests,
-        registry_rows, block_folder, question_files, config_values, checkpoint_pointer, metrics_log, predictions, shuffled_batches, accepted_records, resumed_batches, build_status,
+        registry_rows, block_folder, question_files, config_values, checkpoint_pointer, metrics_log, predictions, shuffled_batches, accepted_records, resumed_batches, build_status, loss_labels,
     )
 }
 
 ORACLES = {
     "build_status": STATUS_SQL,
     "resumed_batches": RESUMED_SQL,
+    "loss_labels": LOSS_SQL,
     "build_world": WORLD_SQL,
     "build_pretrain": f"SELECT sample_index, text, split FROM ({corpora.CORPUS_SQL})",
     "build_tokenized": TOKENIZED_SQL,
