@@ -146,7 +146,7 @@ SAFE_QA_TYPES = ("forward_open", "forward_restricted", "reverse_open")
 QA_TYPES = (*SAFE_QA_TYPES, "reverse_restricted")
 
 
-def sft_violations(rows: DataFrame, split: str) -> DataFrame:
+def sft_violations(rows: DataFrame, split: str | Column) -> DataFrame:
     """Adds ``violation``: what is wrong with a question row (messages, qa_type, row_split), or null."""
     message = lambda k: F.get("messages", F.lit(k))
     blank = lambda k: F.coalesce(answers.strip(message(k).content) == "", F.lit(True))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import permute, tokenizers, vocab
 from tessella.functions.hashing import stable_index
-from tessella.operators import artifacts, build, loss, orchestrate, packing, prediction, trainlog
+from tessella.operators import artifacts, build, evaluation, loading, loss, orchestrate, packing, prediction, trainlog
 from tessella.operators.sampling import hash_rank
 from tessella.plans import corpora, sql, worlds
 from tessella.plans.worlds import SEED, table
@@ -265,6 +265,31 @@ def question_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alone.select("split", F.lit(0).alias("source"), "conv_id", "turn", "role").unionByName(both.select("split", (F.col("source") + 1).alias("source"), "conv_id", "turn", "role"))
 
 
+def checked_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as question files of two splits, loaded with checks: what was kept, and what
+    was refused and why."""
+    at = _folder(spark)
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    kinds = F.array(*map(F.lit, (*evaluation.QA_TYPES, "other")))
+    kind, own = F.element_at(kinds, (F.col("conv_id") % 5 + 1).cast("int")), F.when(F.col("conv_id") % 7 == 0, "test").otherwise(F.col("to"))
+    rows = rows.withColumn("to", F.when(F.col("conv_id") % 3 == 0, "validation").otherwise("train"))
+    messages = F.transform("t", lambda x: F.struct(x.role.alias("role"), x.text.alias("content")))
+    made = rows.select("to", "conv_id", messages.alias("messages"), F.struct(kind.alias("qa_type"), own.alias("split")).alias("metadata"))
+    tables.write_jsonl(made, f"{at}/files", partition_by=["to"])
+    kept, refused, _ = loading.load_questions(spark, {s: [f"{at}/files/to={s}"] for s in ("train", "validation")}, f"{at}/checked", "conv_id long")
+    out = kept.withColumn("violation", F.lit(None).cast("string")).unionByName(refused.drop(loading.CORRUPT))
+    return out.select("conv_id", "split", "source", "violation")
+
+
+_BLANK = r"regexp_replace(coalesce(t[{}].text, ''), '\s+', '', 'g') = ''"
+CHECKED_SQL = f"""
+WITH c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS t, CASE WHEN conv_id % 3 = 0 THEN 'validation' ELSE 'train' END AS split FROM conversations GROUP BY conv_id)
+SELECT conv_id, split, 0 AS source, CASE WHEN len(t) <> 2 THEN 'not exactly two messages' WHEN t[1].role IS DISTINCT FROM 'user' THEN 'first message is not the user''s' WHEN {_BLANK.format(1)} THEN 'empty user message'
+    WHEN t[2].role IS DISTINCT FROM 'assistant' THEN 'second message is not the assistant''s' WHEN {_BLANK.format(2)} THEN 'empty assistant message' WHEN conv_id % 5 = 4 THEN 'unknown qa_type'
+    WHEN conv_id % 5 = 3 THEN 'unsafe qa_type' WHEN conv_id % 7 = 0 THEN 'row of another split' END AS violation FROM c"""
+
+
 def config_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A saved configuration, read again with overrides and references."""
     at = f"{_folder(spark)}/config.yaml"
@@ -371,7 +396,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         build_world, build_pretrain, build_tokenized, build_sft, token_budget_modes, stage_status, world_audit, jsonl_round_trip, document_round_trip, file_digests,
-        registry_rows, block_folder, question_files, config_values, checkpoint_pointer, metrics_log, predictions, shuffled_batches, accepted_records, resumed_batches, build_status, loss_labels,
+        registry_rows, block_folder, question_files, checked_questions, config_values, checkpoint_pointer, metrics_log, predictions, shuffled_batches, accepted_records, resumed_batches, build_status, loss_labels,
     )
 }
 
@@ -379,6 +404,7 @@ ORACLES = {
     "build_status": STATUS_SQL,
     "resumed_batches": RESUMED_SQL,
     "loss_labels": LOSS_SQL,
+    "checked_questions": CHECKED_SQL,
     "build_world": WORLD_SQL,
     "build_pretrain": f"SELECT sample_index, text, split FROM ({corpora.CORPUS_SQL})",
     "build_tokenized": TOKENIZED_SQL,

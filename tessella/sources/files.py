@@ -4,6 +4,7 @@ audits. Tables go through DataFrame readers and writers."""
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +30,23 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
+#: What stands before a path's first folder, a store's name included where it has one.
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
+
+
+def below(spark: SparkSession, path: str) -> list[str]:
+    """A file, or all files in a folder and its folders but hidden ones, without the scheme."""
+    at, fs = _path(spark, path)
+    found, todo = [], [fs.getFileStatus(at)] if fs.exists(at) else []
+    while todo:
+        one = todo.pop()
+        if one.isDirectory():
+            todo += [s for s in fs.listStatus(one.getPath()) if s.getPath().getName()[0] not in "._"]
+        else:
+            found.append(re.sub(SCHEME, "/", one.getPath().toString()))
+    return sorted(found)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     at, fs = _path(spark, path)
     stream = fs.open(at)

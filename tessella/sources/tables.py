@@ -132,13 +132,21 @@ def require_columns(rows: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return rows
 
 
-def concatenated(spark: SparkSession, sources: dict[str, list[str]], schema: str) -> DataFrame:
-    """Rows of all files of each split, with ``split`` and ``source``, the place of the file."""
-    out = None
-    for split, paths in sources.items():
-        for k, path in enumerate(paths):
-            rows = read_jsonl(spark, path, schema).withColumn("split", F.lit(split)).withColumn("source", F.lit(k))
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
+def concatenated(spark: SparkSession, sources: dict[str, list[str]], schema: str, corrupt: str | None = None) -> DataFrame:
+    """Rows of all files of each split, with ``split`` and ``source``, the place of the file or
+    folder, by one scan: a row's file tells its sources. A path that is listed twice gives its
+    rows twice. With ``corrupt``, a line that is no JSON object is kept in a column of that name."""
+    places = [(f, split, k) for split, paths in sources.items() for k, path in enumerate(paths) for f in files.below(spark, path)]
+    paths = sorted({path for held in sources.values() for path in held})
+    if not paths:
         raise ValueError("no sources")
-    return out
+    if gone := [p for p in paths if not files.exists(spark, p)]:
+        raise FileNotFoundError(", ".join(gone))
+    reader = spark.read.schema(schema if corrupt is None else f"{schema}, {corrupt} string")
+    if corrupt is not None:
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    # folders inside a source are walked into, but do not become columns
+    rows = reader.option("recursiveFileLookup", True).json(paths)
+    own = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), files.SCHEME, "/")
+    listed = F.broadcast(spark.createDataFrame(places, "_file string, split string, source int"))  # a row for each file that the driver lists
+    return rows.withColumn("_file", own).join(listed, "_file").drop("_file")
