@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import copy
 import shutil
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
@@ -91,11 +92,25 @@ def ensure(spark: SparkSession, cfg: dict) -> dict[str, str]:
     return done
 
 
-def run_matrix(first: Sequence[Callable[[], object]], jobs: Sequence[Callable[[], object]], last: Sequence[Callable[[], object]], slots: int = 2) -> list:
+def run_matrix(first: Sequence[Callable[[], object]], jobs: Sequence[Callable[[], object]], last: Sequence[Callable[[], object]], slots: int = 2, spark: SparkSession | None = None) -> list:
     """Results of ``first`` one by one, then of ``jobs`` with so many at a time, then of
-    ``last``. The first failure stops what has not begun and is raised."""
+    ``last``. The first failure stops what has not begun and is raised. With ``spark`` each of
+    ``jobs`` has a pool of its own, which share a cluster that schedules fairly, and the Spark work of
+    those still running is ended when one fails."""
     if slots < 1:
         raise ValueError("there must be a slot")
+    tag = f"matrix-{uuid.uuid4().hex}"
+
+    def tagged(k: int, job: Callable[[], object]) -> object:
+        if spark is None:
+            return job()
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{tag}-{k}")
+        spark.sparkContext.addJobTag(tag)
+        try:
+            return job()
+        finally:
+            spark.sparkContext.removeJobTag(tag)
+
     out = [job() for job in first]
     found: dict[Future, int] = {}
     results: list = [None] * len(jobs)
@@ -104,10 +119,18 @@ def run_matrix(first: Sequence[Callable[[], object]], jobs: Sequence[Callable[[]
         while waiting or found:
             while waiting and len(found) < slots:
                 k, job = waiting.pop()
-                found[pool.submit(job)] = k
+                found[pool.submit(tagged, k, job)] = k
             ready, _ = wait(found, return_when=FIRST_COMPLETED)
-            for f in ready:
-                results[found.pop(f)] = f.result()  # raises, and nothing more is begun
+            try:
+                for f in ready:
+                    results[found.pop(f)] = f.result()  # raises, and nothing more is begun
+            except BaseException:
+                while spark is not None and found:  # a job between two queries is met at its next one
+                    spark.sparkContext.cancelJobsWithTag(tag)
+                    done, _ = wait(found, timeout=0.2)
+                    for f in done:
+                        found.pop(f)
+                raise
     return [*out, *results, *(job() for job in last)]
 
 

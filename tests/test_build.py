@@ -2,6 +2,7 @@
 
 import hashlib
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,6 +258,31 @@ def test_matrix_and_preflight(spark, tmp_path):
         orchestrate.recipe(cfg, "none")
 
 
+def test_a_failure_ends_what_runs(spark):
+    """The others' Spark work is interrupted, also of a job that starts one query after another."""
+    began, ended = threading.Barrier(3, timeout=60), []
+
+    def slow():
+        began.wait()
+        try:
+            for _ in range(1000):
+                spark.range(0, 1 << 50, 1, 2).selectExpr("sum(id % 7)").collect()
+        finally:
+            ended.append(time.monotonic())
+
+    def failing():
+        began.wait()
+        time.sleep(1)
+        return 1 / 0
+
+    ran = []
+    start = time.monotonic()
+    with pytest.raises(ZeroDivisionError):
+        orchestrate.run_matrix([], [slow, failing, slow, lambda: ran.append(1)], [lambda: ran.append(2)], 3, spark)
+    assert len(ended) == 2 and time.monotonic() - start < 60 and ran == []
+    assert orchestrate.run_matrix([], [lambda: spark.range(5).count()], [], 1, spark) == [5] and not spark.sparkContext.getJobTags()
+
+
 def test_predictions(spark):
     rows = spark.createDataFrame([("a b",), ("c",), (None,), ("longer prompt",)], "prompt string").repartition(1)
     got = rows.select("prompt", prediction.predicted(F.col("prompt"), prediction.lookup({"a b": "x"}, "-"), 2).alias("p")).collect()
