@@ -7,14 +7,13 @@ A conversation is dropped if its last rolling hash, at its length, is one of the
 prefixes of any conversation (anti-join), and of equal conversations the one of the
 smallest id stays. What is left, the maximal conversations, is rendered.
 
-Only ids, positions and hashes are shuffled for that. Conversations and prefixes are made
-distinct, combined before the shuffle, so a first turn or a conversation that many share
-is one row on either side of the join. Texts are shuffled once, for the conversations
-that stay.
+Turns are shuffled once to their conversations; from there on only ids, positions and hashes
+are. Conversations and prefixes are made distinct, combined before the shuffle, so a first
+turn or a conversation that many share is one row on either side of the join. Texts are
+shuffled once more, for the conversations that stay.
 
 Rows: null role or text counts as empty; turns are ordered by turn (null first), role and
-the hash of role and text, so ties have one order, and equal rows are rendered as often as
-they stand; rows of null conv_id are one conversation, kept among equals only if alone.
+text, so ties have one order, and equal rows are rendered as often as they stand; rows of null conv_id are one conversation, kept among equals only if alone.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ def _turns(conversations: DataFrame) -> DataFrame:
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """(conv_id, k, n, a, b): the rolling hash (a, b) after turn k of n."""
     whole = Window.partitionBy("conv_id")
-    order = whole.orderBy("turn", "role", "h")
-    numbered = turns.select("conv_id", "turn", "role", "h").withColumn("k", F.row_number().over(order))
+    order = whole.orderBy("turn", "role", "text")
+    numbered = turns.withColumn("k", F.row_number().over(order))
     return numbered.select(
         "conv_id",
         "k",
@@ -66,7 +65,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """One row per maximal conversation: conv_id, n_turns, n_copies, text."""
     stay = maximal(conversations)
     turns = _turns(conversations).join(stay.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
-    message = F.struct("turn", "role", "h", "text")
+    message = F.struct("turn", "role", "text")
     return (
         turns.groupBy("conv_id", "n_turns", "n_copies")
         .agg(F.sort_array(F.collect_list(message)).alias("messages"))

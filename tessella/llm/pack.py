@@ -22,7 +22,7 @@ from collections import Counter
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import simhash, tokens
@@ -97,9 +97,12 @@ def _order(row: tuple) -> tuple:
     return (-size, nulls(doc_id), piece, nulls(source), nulls(cluster))
 
 
-def pack(sized: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, conflicts: bool = False) -> DataFrame:
     """``sized`` (doc_id, size, source, cluster) → one row per piece, with its bin, what
-    the bin holds in all and of how many pieces."""
+    the bin holds in all and of how many pieces; with ``conflicts`` its source and cluster too."""
+    carried = ["source", "cluster"] if conflicts else []
+    types = {f.name: f.dataType for f in sized.schema.fields}
+    schema = ", ".join([_OUT, *(f"{c} {types[c].simpleString()}" for c in carried)])
 
     def one(group: pa.Table) -> pa.Table:
         rows = sorted(zip(*(c.to_pylist() for c in group.columns)), key=_order)
@@ -111,10 +114,27 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
             *([r[k] for r in rows] for k in range(4)),
             [f"{r[6]}-{n}" for r, n in zip(rows, number)], [used[n] for n in number], [held[n] for n in number],
         ]
-        types = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(made, types)], names=[f.split()[0] for f in _OUT.split(", ")])
-
-    return _dealt(sized, capacity, shard).groupBy("shard").applyInArrow(one, _OUT)
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.int64()]
+        for c in carried:
+            made.append([r[4 + carried.index(c)] for r in rows])
+            kinds.append(group.schema.field(c).type)
+        return pa.table([pa.array(c, t) for c, t in zip(made, kinds)], names=[*(f.split()[0] for f in _OUT.split(", ")), *carried])
+
+    return _dealt(sized, capacity, shard).groupBy("shard").applyInArrow(one, schema)
+
+
+def audit(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Rows of ``pack`` with their conflicts → of each source its pieces and their size, and how
+    many of the pieces are in a bin without another of their source, without another of their
+    cluster, and in a bin that holds what it says and no more than it can. A null source or
+    cluster is never in the way of another."""
+    whole = Window.partitionBy("bin")
+    alone = lambda k: F.col(k).isNull() | (F.count("*").over(Window.partitionBy("bin", k)) == 1)
+    held, n = F.sum("size").over(whole), F.count("*").over(whole)
+    fits = (held <= capacity) & (held == F.col("bin_used")) & (n == F.col("bin_pieces"))
+    judged = packed.select("source", "size", alone("source").alias("apart_by_source"), alone("cluster").alias("apart_by_cluster"), fits.alias("fitting"))
+    right = [F.count_if(k).alias(k) for k in ("apart_by_source", "apart_by_cluster", "fitting")]
+    return judged.groupBy("source").agg(F.count("*").alias("pieces"), F.sum("size").alias("words"), *right)
 
 
 def sized_by_words(docs: DataFrame) -> DataFrame:

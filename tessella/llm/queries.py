@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import chat, circulant, decontaminate, html, licenses, minhash, negatives, pack, quality, simhash, tokens, warc, whitening
-from tessella.llm.common import materialise, table
+from tessella.llm.common import table
 
 #: Words a shingle in op1's contract.
 OP1_SHINGLE = 4
@@ -17,9 +17,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _op2_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = minhash.clusters(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("source"))
-    return pack.pack(sized.withColumnRenamed("words", "size"))
+    return sized.withColumnRenamed("words", "size")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(_op2_sized(spark, sf_dir))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,19 +65,15 @@ SELECT s.doc_id, component_id, (SELECT count(*) FROM e WHERE e.u = c.cid)::BIGIN
 
 
 def packing_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row about the bins of op2: what they hold, and how many break a rule."""
-    rows = op2_packing(spark, sf_dir)
-    rows = materialise(rows.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id"))
-    bins = rows.groupBy("bin").agg(F.sum("size").alias("held"), F.count("*").alias("n"), F.count("source").alias("named"), F.countDistinct("source").alias("sources"), F.max("bin_used").alias("used"), F.max("bin_pieces").alias("pieces"))
-    wrong = [(F.col("held") > pack.CAPACITY).alias("overfull"), (F.col("named") > F.col("sources")).alias("clashes"), ((F.col("held") != F.col("used")) | (F.col("n") != F.col("pieces"))).alias("misstated")]
-    checked = bins.select("held", "n", *wrong)
-    broken = [F.count_if(k).alias(k) for k in ("overfull", "clashes", "misstated")]
-    return checked.agg(F.sum("n").alias("pieces"), F.sum("held").alias("words"), *broken)
+    """What each source has in the bins of op2, and how much of it is right by each rule."""
+    return pack.audit(pack.pack(_op2_sized(spark, sf_dir), conflicts=True))
 
 
+#: Every piece of a source must be right by each rule, so each count is the number of pieces.
 AUDIT_SQL = r"""
-SELECT sum(greatest(ceil(n / 2048.0), 1))::BIGINT AS pieces, sum(n)::BIGINT AS words, 0::BIGINT AS overfull, 0::BIGINT AS clashes, 0::BIGINT AS misstated
-FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)
+SELECT source, pieces, words, pieces AS apart_by_source, pieces AS apart_by_cluster, pieces AS fitting
+FROM (SELECT source, sum(greatest(ceil(n / 2048.0), 1))::BIGINT AS pieces, sum(n)::BIGINT AS words
+      FROM (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents) GROUP BY source)
 """
 
 

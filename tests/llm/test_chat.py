@@ -50,7 +50,10 @@ def test_odd_rows(spark):
         (1, 0, None, None), (2, 0, "", ""), (None, 0, "user", "a"), (None, 1, "user", "b"), (3, 0, "user", "a"), (4, None, "user", "z"), (4, 0, "user", "a"),
         (5, 0, "user", "same"), (5, 0, "user", "same"), (6, 0, "user", "w" * 300_000), (7, 0, "us", "er\nx"), (8, 0, "user", "\nx"),
     ]
-    assert run(spark, rows) == plain(rows)
+    rows += [(9, 0, "user", x) for x in ("b", "a", "\u00e9", "B", "")]  # ties go by text
+    rows += [(10, 0, "user", x) for x in ("", "B", "a")]
+    got = run(spark, rows)
+    assert got == plain(rows) and 10 not in got and got[9][2].index("a<|im_end|>") < got[9][2].index("b<|im_end|>")
     many = [(1, t, "user", f"turn {t}") for t in range(3000)] + [(2, t, "user", f"turn {t}") for t in range(2999)]
     assert set(run(spark, many)) == {1}
     assert run(spark, []) == {}

@@ -88,6 +88,25 @@ def test_audit_equal_sql(spark, sf):
     same_as_sql(spark, sf, "packing_audit")
 
 
+def test_audit_of_repeated_and_null_ids(spark, tmp_path):
+    """Pieces are told apart by what they carry, not by their ids."""
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, "s"), (1, text + " x", "t"), (None, text, "u"), (None, None, None), (2, "", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.source: tuple(r)[1:] for r in queries.packing_audit(spark, str(tmp_path)).collect()}
+    assert got == {"s": (2, 30, 2, 2, 2), "t": (1, 31, 1, 1, 1), "u": (1, 30, 1, 1, 1), None: (1, 0, 1, 1, 1)}
+
+
+def test_audit_finds_broken_rules(spark):
+    given = "doc_id long, size long, bin string, bin_used long, bin_pieces long, source string, cluster long"
+    rows = [
+        (1, 5, "a", 9, 2, "s", 1), (2, 4, "a", 9, 2, "s", 2), (3, 5, "b", 9, 2, "t", 7), (4, 4, "b", 9, 2, "u", 7),
+        (5, 8, "c", 12, 2, None, None), (6, 4, "c", 12, 2, None, None), (7, 3, "d", 4, 1, "t", None), (8, 3, "e", 3, 2, "u", 7),
+    ]
+    got = {r.source: tuple(r)[1:] for r in pack.audit(spark.createDataFrame(rows, given), capacity=10).collect()}
+    assert got == {"s": (2, 9, 0, 2, 2), "t": (2, 8, 2, 1, 1), "u": (2, 7, 2, 1, 1), None: (2, 12, 2, 2, 0)}
+
+
 def test_tokens_and_clusters_of_the_pipeline(spark, sf):
     """Sizes are the vocabulary's tokens; documents within 4 bits of SimHash never share a bin."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
