@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import copy
+import hashlib
+import re
+from collections.abc import Iterator
 from datetime import UTC, datetime
+from functools import reduce
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,21 +34,47 @@ def register(spark: SparkSession, path: str, artifact_type: str, artifact_id: st
     spark.createDataFrame(row, REGISTRY_SCHEMA).coalesce(1).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-#: Files up to this size are hashed on the executors, each in one row.
-ROW_BYTES = 256 << 20
+#: Files up to this size are hashed as one row each.
+ROW_BYTES = 64 << 20
+#: Bytes of a file that a task holds at a time.
+CHUNK = 8 << 20
+#: Stores whose files Python tasks can open; files of others are streamed by the driver's JVM.
+STREAMED = ("file", "hdfs", "s3", "gs")
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            # a store is opened by its root, as names of files are not written as in an address
+            scheme, host, at = re.match(r"([^:]+):(?://([^/]*))?(/.*)", path, re.DOTALL).groups()
+            store, root = FileSystem.from_uri(f"{scheme}://{host or ''}/")
+            digest = hashlib.sha256()
+            with store.open_input_stream(root.rstrip("/") + at) as stream:
+                while piece := stream.read(CHUNK):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "sha256"])
 
 
 def checksums(spark: SparkSession, paths: list[str], row_bytes: int = ROW_BYTES) -> DataFrame:
-    """(path, sha256) of the files that exist, hashed where they are read; one beyond
-    ``row_bytes`` is streamed through the driver's JVM, as no row may hold it."""
+    """(path, sha256) of the files that exist. Those up to ``row_bytes`` are rows of one scan;
+    each beyond is streamed by a task of its own, ``CHUNK`` bytes at a time."""
     sizes = {p: files.size(spark, p) for p in paths}
     small = [p for p, n in sizes.items() if n is not None and n <= row_bytes]
-    large = [(files.qualified(spark, p), files.sha256(spark, p)) for p, n in sizes.items() if n is not None and n > row_bytes]
-    out = spark.createDataFrame(large, "path string, sha256 string")
-    if not small:
-        return out
-    found = spark.read.format("binaryFile").load(small).select("path", F.sha2("content", 256).alias("sha256"))
-    return found.unionByName(out) if large else found
+    large = [files.qualified(spark, p) for p, n in sizes.items() if n is not None and n > row_bytes]
+    parts = []
+    if small:
+        parts.append(spark.read.format("binaryFile").load(small).select("path", F.sha2("content", 256).alias("sha256")))
+    own = [p for p in large if p.split(":", 1)[0] in STREAMED]
+    if own:
+        numbered = spark.createDataFrame([*enumerate(own)], "k long, path string")
+        spread = numbered.repartitionById(len(own), F.col("k").cast("int")).select("path")
+        parts.append(spread.mapInArrow(_streamed, "path string, sha256 string"))
+    rest = [(p, files.sha256(spark, p)) for p in large if p not in own]
+    if rest or not parts:
+        parts.append(spark.createDataFrame(rest, "path string, sha256 string"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def missing_files(spark: SparkSession, paths: list[str], allow_empty: tuple[str, ...] = ()) -> list[str]:

@@ -64,13 +64,18 @@ def pack(docs: DataFrame, block: int, key: str = "doc_id", tokens: str = "tokens
     """(within..., block_index, input_ids): whole blocks of the concatenated ``tokens``."""
     groups = within or []
     sized = materialise(docs.select(*groups, key, tokens).withColumn("n", F.size(tokens).cast("bigint")).filter("n > 0"))
-    spread = offsets(sized, key, "n", groups, F.xxhash64(tokens))
+    return cut(offsets(sized, key, "n", groups, F.xxhash64(tokens)), block, tokens, groups)
+
+
+def cut(spread: DataFrame, block: int, tokens: str = "tokens", within: list[str] | None = None) -> DataFrame:
+    """``pack`` of rows that know their ``offset`` and their number ``n`` of tokens."""
+    groups = within or []
     first, last = F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("n") - 1) / block)
-    cut = spread.withColumn("block_index", F.explode(F.sequence(first, last)))
+    pieces = spread.withColumn("block_index", F.explode(F.sequence(first, last)))
     start = F.greatest(F.col("block_index") * block - F.col("offset"), F.lit(0))
     stop = F.least((F.col("block_index") + 1) * block - F.col("offset"), F.col("n"))
     piece = F.slice(tokens, (start + 1).cast("int"), (stop - start).cast("int"))
-    parts = cut.select(*groups, "block_index", F.struct((F.col("offset") + start).alias("at"), piece.alias("t")).alias("p"))
+    parts = pieces.select(*groups, "block_index", F.struct((F.col("offset") + start).alias("at"), piece.alias("t")).alias("p"))
     whole = parts.groupBy(*groups, "block_index").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     return whole.select(*groups, "block_index", F.flatten(F.transform("ps", lambda p: p.t)).alias("input_ids")).filter(F.size("input_ids") == block)
 

@@ -12,9 +12,10 @@ from tessella.operators import artifacts, packing, trainlog
 from tessella.plans.corpora import BLOCK, PACK_SQL
 from tessella.plans import sql
 from tessella.plans.worlds import SEED, table
+from tessella.sources import files
 from tessella.sources.scratch import scratch_dir
 from tessella.streaming import counts, reservoir
-from tessella.streaming.packing import OUT, stream_pack
+from tessella.streaming.packing import PLACED, stitched, stream_places
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +116,16 @@ def artifact_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = artifacts.checksums(spark, [f"{sf_dir}/{t}.parquet" for t in ("region", "nation", "absent")])
+    """Digests of the files of all tables, small ones a row each, large ones streamed."""
+    found = artifacts.checksums(spark, [f"{sf_dir}/{name}" for name in files.names(spark, sf_dir)], row_bytes=1 << 20)
     return found.select(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("name"), "sha256")
 
 
 # -- streams --------------------------------------------------------------------------
 
+#: Ids a range of the packed streams.
+RANGE = 100
+
 
 def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by type and user of the events, as a stream drained into a table."""
@@ -141,15 +146,16 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' token stream packed incrementally: the blocks of the batch query."""
+    """The documents' token stream packed by ranges of ids: the blocks of the batch query."""
     static = table(spark, sf_dir, "documents")
     stream = spark.readStream.schema(static.schema).parquet(_stream_folder(spark, sf_dir, "documents"))
     docs = stream.filter(packing.not_blank(F.col("text")))
     tokens = packing.whitespace_tokens(F.concat("text", F.lit("<eos>")))
     rows = docs.select(F.lit("train").alias("split"), F.col("doc_id").alias("seq"), tokens.alias("tokens"))
     at = _state_folder(spark)
-    counts.drain_to(stream_pack(rows, BLOCK), f"{at}/blocks", f"{at}/state")
-    return spark.read.schema(OUT).parquet(f"{at}/blocks").select("block_index", F.size("input_ids").alias("n"), F.sha2(F.array_join("input_ids", " "), 256).alias("block_hash"))
+    counts.drain_to(stream_places(rows, RANGE), f"{at}/placed", f"{at}/state")
+    blocks = stitched(spark.read.schema(PLACED).parquet(f"{at}/placed"), BLOCK)
+    return blocks.select("block_index", F.size("input_ids").alias("n"), F.sha2(F.array_join("input_ids", " "), 256).alias("block_hash"))
 
 
 def stream_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +176,9 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, part in enumerate((F.col("seq") <= half, F.col("seq") > half)):
         rows.filter(part).coalesce(1).write.mode("append").parquet(f"{at}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
-        counts.drain_to(stream_pack(stream, 64), f"{at}/blocks", f"{at}/state")
-    return spark.read.schema(OUT).parquet(f"{at}/blocks").select("block_index", F.sha2(F.array_join("input_ids", " "), 256).alias("block_hash"))
+        counts.drain_to(stream_places(stream, RANGE), f"{at}/placed", f"{at}/state")
+    blocks = stitched(spark.read.schema(PLACED).parquet(f"{at}/placed"), 64)
+    return blocks.select("block_index", F.sha2(F.array_join("input_ids", " "), 256).alias("block_hash"))
 
 
 def _stream_folder(spark: SparkSession, sf_dir: str, name: str) -> str:

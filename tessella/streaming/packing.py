@@ -1,9 +1,16 @@
-"""Incremental packing: token rows come in order, whole blocks go out.
-
-State is one key's carry, less than a block of tokens, so it does not grow with the
-stream; what is left when the stream ends is dropped, as in the batch operator. Rows of
-one micro-batch are taken in order of ``seq``, and micro-batches follow each other in the
-source's order, so a source whose files come in key order packs as the batch form does.
+"""Incremental packing: token rows come in as a stream, whole blocks go out.
+
+A stream is packed in two steps. While it runs, ``stream_places`` gives each row its place in
+its range of ``seq``; the state of a range is one number, how many tokens it has had, so state
+grows by a number a range and no task sees more than what one micro-batch brings of a range.
+Ranges may come side by side and in any order; within one, micro-batches follow each other in
+the source's order and rows of one are taken by ``seq`` and then by their tokens' hash, as the
+batch operator does. ``stitched`` adds what all ranges before hold and cuts the rows at block
+boundaries. What does not fill a block at the end is dropped, as in the batch operator; while
+the stream runs, blocks up to the first range still open are final.
+
+Rows: a null ``seq`` comes first; null or empty tokens take no place; rows without a split are
+left out of the blocks, as in the batch operator.
 """
 
 from __future__ import annotations
@@ -11,31 +18,38 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-OUT = "split string, block_index long, input_ids array<string>"
-STATE = "blocks long, carry array<string>"
+from tessella.operators import packing
+
+#: How many numbers of ``seq`` are a range.
+WIDTH = 1 << 20
+PLACED = "split string, part long, start long, n long, tokens array<string>"
+STATE = "tokens long"
+
 
+def _place(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    (done,) = state.get if state.exists else (0,)
+    rows = pd.concat(list(frames)).sort_values(["seq", "tie"], na_position="first")
+    ends = done + rows["n"].cumsum()
+    state.update((int(ends.iloc[-1]),))
+    yield pd.DataFrame({"split": key[0], "part": key[1], "start": ends - rows["n"], "n": rows["n"], "tokens": rows["tokens"]})
 
-def _packer(block: int):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        done, carry = state.get if state.exists else (0, [])
-        carry = list(carry)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for tokens in rows["tokens"]:
-            carry.extend(tokens)
-            whole = len(carry) // block
-            out += [(key[0], done + k, carry[k * block : (k + 1) * block]) for k in range(whole)]
-            carry, done = carry[whole * block :], done + whole
-        state.update((done, carry))
-        yield pd.DataFrame(out, columns=["split", "block_index", "input_ids"])
 
-    return run
+def stream_places(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(split, seq long, tokens array<string>) stream → (split, part, start, n, tokens) stream:
+    the row's range and how many tokens stand before it there."""
+    if width < 1:
+        raise ValueError("a range holds one number at least")
+    part = F.coalesce(F.floor(F.col("seq") / width), F.lit(-(1 << 62))).cast("bigint")
+    slim = rows.select("split", part.alias("part"), "seq", F.xxhash64("tokens").alias("tie"), F.size("tokens").cast("bigint").alias("n"), "tokens")
+    return slim.filter("n > 0").groupBy("split", "part").applyInPandasWithState(_place, PLACED, STATE, "append", "NoTimeout")
 
 
-def stream_pack(rows: DataFrame, block: int) -> DataFrame:
-    """(split, seq, tokens array<string>) stream → (split, block_index, input_ids) stream."""
-    slim = rows.select(F.col("split"), F.col("seq"), F.col("tokens"))
-    return slim.groupBy("split").applyInPandasWithState(_packer(block), OUT, STATE, "append", "NoTimeout")
+def stitched(placed: DataFrame, block: int) -> DataFrame:
+    """(split, block_index, input_ids): the blocks of the rows that a stream has placed."""
+    sums = placed.groupBy("split", "part").agg(F.sum("n").alias("own"))
+    before = F.sum("own").over(Window.partitionBy("split").orderBy("part")) - F.col("own")
+    spread = placed.join(sums.select("split", "part", before.alias("before")), ["split", "part"])
+    return packing.cut(spread.withColumn("offset", F.col("before") + F.col("start")), block, within=["split"])

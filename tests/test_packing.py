@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import packing
+from tessella.streaming import counts
+from tessella.streaming import packing as stream
 
 
 def plain(docs, block):
@@ -36,3 +38,32 @@ def test_no_blocks(spark):
     assert packing.pack(df, 4).collect() == [] and packing.pack(df.limit(0), 4).collect() == []
     with pytest.raises(ValueError):
         packing.assert_train_blocks(packing.pack(df.withColumn("split", F.lit("train")), 4, within=["split"]))
+
+
+@pytest.mark.parametrize("width", [1, 40, 10_000])
+def test_ranges_of_a_stream_make_the_plain_stream(spark, tmp_path, width):
+    """Ranges that come out of order, in several runs, give the blocks of all rows in order."""
+    rng = random.Random(width)
+    docs = [(None if k == 0 else k, [f"t{k}_{j}" for j in range(rng.choice([0, 1, 2, 30, 90]))]) for k in range(-80, 240)]
+    rows = spark.createDataFrame([("train", *d) for d in docs], "split string, seq long, tokens array<string>")
+    late, early = F.col("seq") >= 120, (F.col("seq") < 120) | F.col("seq").isNull()
+    for k, part in enumerate([late, early] if width <= 40 else [early, late]):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        placed = stream.stream_places(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), width)
+        counts.drain_to(placed, f"{tmp_path}/placed", f"{tmp_path}/state")
+    found = stream.stitched(spark.read.schema(stream.PLACED).parquet(f"{tmp_path}/placed"), 16)
+    order = [(-1000 if k is None else k, t) for k, t in docs]
+    assert [r.input_ids for r in found.orderBy("block_index").collect()] == plain(order, 16)
+
+
+def test_rows_of_a_stream_that_take_no_place(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, ["x", None]), ("a", 1, ["y", "z"]), ("a", 2, None), ("a", 3, []), (None, 9, ["u", "v"])], "split string, seq long, tokens array<string>")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    counts.drain_to(stream.stream_places(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/placed", f"{tmp_path}/state")
+    placed = spark.read.schema(stream.PLACED).parquet(f"{tmp_path}/placed")
+    got = [(r.split, r.input_ids) for r in stream.stitched(placed, 2).collect()]
+    want = [(r.split, r.input_ids) for r in packing.pack(rows.withColumnRenamed("seq", "doc_id"), 2, within=["split"]).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert stream.stitched(placed.limit(0), 2).collect() == []
+    with pytest.raises(ValueError):
+        stream.stream_places(rows, 0)
