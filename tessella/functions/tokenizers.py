@@ -67,7 +67,8 @@ class WhiteSpace:
 _LOADED: dict[str, object] = {}
 
 
-def _load(path: str):
+def encoder(path: str):
+    """The library's encoder of a file, loaded once in a process."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer as Encoder
@@ -89,9 +90,9 @@ class Library:
 
         @F.pandas_udf(kind)
         def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoder = _load(path)
+            library = encoder(path)
             for texts in series:
-                found = encoder.encode_batch([t or "" for t in texts], add_special_tokens=False)
+                found = library.encode_batch([t or "" for t in texts], add_special_tokens=False)
                 yield pd.Series([of(e.ids) for e in found], index=texts.index)
 
         return run(text)
@@ -107,9 +108,9 @@ class Library:
 
         @F.pandas_udf("array<struct<from int, to int>>")
         def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            encoder = _load(path)
+            library = encoder(path)
             for texts, asked in batches:
-                found = encoder.encode_batch([t or "" for t in texts], add_special_tokens=False)
+                found = library.encode_batch([t or "" for t in texts], add_special_tokens=False)
                 out = []
                 for e, own in zip(found, asked):
                     starts, ends = ([o[k] for o in e.offsets] for k in (0, 1))

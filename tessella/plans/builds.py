@@ -322,20 +322,50 @@ def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations' first questions answered by a predictor that repeats the last word."""
-    t = table(spark, sf_dir, "conversations").filter("turn < 2")
-    rows = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    """Conversations' first questions answered by a predictor that repeats the last words, up to
+    a full stop; the run ends after some conversations and goes on for the others."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
     messages = F.transform("m", lambda x: F.struct(x.role.alias("role"), x.content.alias("content")))
     asked = rows.select("conv_id", messages.alias("messages")).filter("messages[0].role = 'user'")
-    found = prediction.evaluate_questions(asked, prediction.echo(), "plain", 8)
+    asked = asked.select("conv_id", evaluation.generation_prompt(F.col("messages"), "plain").alias("prompt"))
+    at, ask = _folder(spark), prediction.echo(3, "A:")
+    for part in (asked.filter("conv_id % 3 = 0"), asked):
+        found = prediction.predict_to(part, "conv_id", ask, at, 8, (".",), slices=4)
     return found.select("conv_id", F.md5(F.col("prompt").cast("binary")).alias("prompt"), "prediction")
 
 
-PREDICTIONS_SQL = """
-WITH m AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS m FROM conversations WHERE turn < 2 GROUP BY conv_id),
-f AS (SELECT conv_id, m, list_position(list_transform(m, lambda x: x.role), 'assistant') AS a FROM m WHERE m[1].role = 'user')
-SELECT conv_id, md5(concat(array_to_string(list_transform(CASE WHEN a > 0 THEN m[1 : a - 1] ELSE m END, lambda x: CASE WHEN x.role = 'user' THEN concat('Q: ', x.text, chr(10)) ELSE '' END), ''), 'A:')) AS prompt,
-       'A:' AS prediction FROM f"""
+PREDICTIONS_SQL = r"""
+WITH m AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS m FROM conversations GROUP BY conv_id),
+f AS (SELECT conv_id, m, list_position(list_transform(m, lambda x: x.role), 'assistant') AS a FROM m WHERE m[1].role = 'user'),
+q AS (SELECT conv_id, array_to_string(list_transform(CASE WHEN a > 0 THEN m[1 : a - 1] ELSE m END, lambda x: CASE WHEN x.role = 'user' THEN concat('Q: ', x.text, chr(10)) ELSE '' END), '') AS q FROM f),
+w AS (SELECT conv_id, q, list_filter(string_split_regex(q, '\s+'), lambda w: w <> '') AS w FROM q)
+SELECT conv_id, md5(concat(q, 'A:')) AS prompt, string_split(array_to_string(w[greatest(len(w) - 2, 1) :], ' '), '.')[1] AS prediction FROM w"""
+
+
+def completion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probes of a corpus over the tables' relations, through the completion driver with a
+    predictor that repeats the prompt's last words: how many of each pattern, how long what is
+    said is, and the metrics' overall counts."""
+    at = _folder(spark)
+    n = _world_of_tables(spark, sf_dir, f"{at}/world")
+    cfg = settings(at, target_records=corpora.ROUNDS * n)
+    metrics = prediction.completion_run(spark, build.build_pretrain(spark, cfg, f"{at}/world"), prediction.echo(2), f"{at}/eval", batch=16)
+    out = None
+    for name in ("memory", "template_heldout"):
+        rows = spark.read.schema("pattern string, prediction string").json(f"{at}/eval/{name}_predictions.jsonl")
+        own = rows.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.length("prediction")).alias("chars"))
+        own = own.select(F.lit(name).alias("probe"), "*", F.lit(metrics[name]["overall"]["num_examples"]).cast("bigint").alias("overall"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+_ECHOED = r"""SELECT '{}' AS probe, pattern, count(*) AS n, sum(length(array_to_string(w[greatest(len(w) - 1, 1) :], ' ')))::BIGINT AS chars, (sum(count(*)) OVER ())::BIGINT AS overall
+FROM (SELECT pattern, list_filter(string_split_regex(prompt, '\s+'), lambda w: w <> '') AS w FROM ({})) GROUP BY pattern"""
+COMPLETION_SQL = (
+    _ECHOED.format("memory", f"SELECT * FROM ({corpora.CORPUS_SQL}) WHERE split = 'train' ORDER BY {corpora.MEMORY_ORDER}, sample_index LIMIT 50")
+    + " UNION ALL "
+    + _ECHOED.format("template_heldout", f"SELECT * FROM ({corpora.TEMPLATE_SQL}) WHERE sample_index % 10 = 0")
+)
 
 
 def loss_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,7 +426,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         build_world, build_pretrain, build_tokenized, build_sft, token_budget_modes, stage_status, world_audit, jsonl_round_trip, document_round_trip, file_digests,
-        registry_rows, block_folder, question_files, checked_questions, config_values, checkpoint_pointer, metrics_log, predictions, shuffled_batches, accepted_records, resumed_batches, build_status, loss_labels,
+        registry_rows, block_folder, question_files, checked_questions, config_values, checkpoint_pointer, metrics_log, predictions, completion_scores, shuffled_batches, accepted_records, resumed_batches, build_status, loss_labels,
     )
 }
 
@@ -424,6 +454,7 @@ FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'valid' ELSE 'train' END AS split,
     "checkpoint_pointer": "SELECT * FROM (VALUES ('step-0000015', FALSE, 15::BIGINT, 'complete'), ('step-0000020', TRUE, 20, 'complete')) AS v(name, latest, step, status)",
     "metrics_log": "SELECT 'run' AS run, step::BIGINT AS step, name, value::DOUBLE AS value FROM (VALUES (1, 'acc', 0.25), (1, 'loss', 1.5), (2, 'acc', 0.5), (2, 'loss', 0.75)) AS v(step, name, value)",
     "predictions": PREDICTIONS_SQL,
+    "completion_scores": COMPLETION_SQL,
     "shuffled_batches": f"""
 SELECT c_custkey, place // 16 AS batch FROM (SELECT c_custkey, row_number() OVER (ORDER BY {sql.stable_index(SEED, "shuffle", sql.Raw(sql.num("c_custkey")))}, c_custkey) - 1 AS place,
        count(*) OVER () AS n FROM customer) WHERE place < n // 16 * 16""",

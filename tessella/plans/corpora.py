@@ -148,10 +148,10 @@ def memory_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(held.withColumn("exposure_type", F.col("metadata.exposure_type")), "prompt", "completion", "text", "exposure_type")
 
 
-_MEMORY = sql.stable_index(SEED + corpus.MEMORY_SALT, "memory", sql.Raw(sql.num("sample_index")))
+MEMORY_ORDER = sql.stable_index(SEED + corpus.MEMORY_SALT, "memory", sql.Raw(sql.num("sample_index")))
 MEMORY_SQL = f"""
 SELECT prompt, answer AS completion, text, 'memory' AS exposure_type, {_FLAT_SQL}
-FROM (SELECT *, row_number() OVER (ORDER BY {_MEMORY}, sample_index) AS r FROM ({CORPUS_SQL}) WHERE split = 'train') WHERE r <= 200"""
+FROM (SELECT *, row_number() OVER (ORDER BY {MEMORY_ORDER}, sample_index) AS r FROM ({CORPUS_SQL}) WHERE split = 'train') WHERE r <= 200"""
 
 
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

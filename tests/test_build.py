@@ -1,10 +1,12 @@
 """Datasets end to end on the small fixture, their status, checkpoints and orchestration."""
 
 import hashlib
+import json
 import threading
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessella.functions import tokenizers, vocab
@@ -294,6 +296,90 @@ def test_predictions(spark):
     assert sorted(r.o for r in sample.collect()) == [0, 1, 2, 3, 4]
 
 
+def test_an_ended_run_goes_on(spark, tmp_path):
+    """A predictor that fails late leaves its slices; the next run asks only for the others."""
+    at, asked = f"file://{tmp_path}/out", tmp_path / "asked"
+    rows = [(k, f"p{k % 7} of {k}" * (k % 5 + 1)) for k in range(60)] + [(3, None), (None, "p"), (5, "p5 of 5"), (5, "p5 of 5")]
+    df = spark.createDataFrame(rows, "id long, prompt string")
+
+    def counting(fail):
+        def make():
+            def predict(prompts):
+                if fail and any(p.startswith("p6 of 48") for p in prompts):
+                    raise RuntimeError("the model is gone")
+                with open(asked, "a") as log:
+                    log.writelines(f"{p}\n" for p in prompts)
+                return [p[:4] + "|x" for p in prompts]
+
+            return predict
+
+        return make
+
+    with pytest.raises(Exception, match="model is gone"):
+        prediction.predict_to(df, "id", counting(True), at, 4, ("|",), slices=8)
+    kept = sum(spark.read.schema(prediction.ANSWERED).parquet(f"{at}/{d.name}").count() for d in (tmp_path / "out").glob("slice=*"))
+    assert 0 < kept < 60
+    before = len(asked.read_text().splitlines())
+    got = prediction.predict_to(df, "id", counting(False), at, 4, ("|",), slices=8)
+    assert sorted(map(str, got.collect())) == sorted(str(Row(id=i, prompt=p, prediction=(p or "")[:4])) for i, p in rows)
+    assert len(asked.read_text().splitlines()) - before == len(set(rows)) - kept
+    once = asked.read_text()
+    prediction.predict_to(df, "id", counting(True), at, 4, ("|",), slices=8).collect()
+    assert asked.read_text() == once
+    assert prediction.predict_to(df.limit(0), "id", counting(False), f"{at}-none", 4).collect() == []
+
+
+def test_padded_ids_and_stops(spark, tmp_path):
+    """New ids follow prompts padded on the left, and end before a stop."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({w: k for k, w in enumerate(("one", "two", "three", "hello", "[U]"))}, unk_token="[U]"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = str(tmp_path / "t.json")
+    made.save(path)
+    encoder, seen = tokenizers.encoder, []
+
+    def make():
+        def generate(ids, real, most):
+            seen.append((ids.tolist(), real.tolist(), most))
+            return [[*row[m], 7, *row[m]] for row, m in zip(ids, real)]
+
+        return generate
+
+    predict = prediction.by_tokens(path, make, pad=9, stops=(7,), most=5)()
+    own = encoder(path).encode_batch(["hello", "one two three", ""], add_special_tokens=False)
+    found = predict(["hello", "one two three", ""])
+    ids, real, most = seen[0]
+    width = max(len(e.ids) for e in own)
+    assert most == 5 and ids == [[9] * (width - len(e.ids)) + e.ids for e in own] and real == [[False] * (width - len(e.ids)) + [True] * len(e.ids) for e in own]
+    assert found == encoder(path).decode_batch([e.ids for e in own])
+    assert prediction.by_tokens(path, make, pad=9, most=1)()(["one two"]) == [encoder(path).decode(encoder(path).encode("one two", add_special_tokens=False).ids[:1])]
+    cut = spark.createDataFrame([("a\\Eb|c.d",), ("",), (None,), ("|x",)], "t string").select(prediction.until(F.col("t"), ("|", "\\E")).alias("c"))
+    assert [r.c for r in cut.collect()] == ["a", "", None, ""]
+    with pytest.raises(ValueError):
+        prediction.until(F.col("t"), ("",))
+
+
+def test_completion_driver(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    meta = {"relation_id": "r", "effect_id": "e", "pattern": "p", "partition": "open", "qa_type": "q", "exposure_type": "seen", "pattern_seen_in_pretrain": True}
+    rows = [{"prompt": f"say {x}  ", "completion": x, "metadata": {**meta, "pattern": p}} for x, p in (("red", "p"), ("blue", "q"), ("green", "q"))]
+    rows.append({"prompt": "say what ", "completion": "other", "metadata": {}})
+    with pytest.raises(FileNotFoundError):
+        prediction.completion_run(spark, f"{at}/none", prediction.echo(), f"{at}/out")
+    for name in ("eval_memory", "eval_template_heldout"):
+        files.write_text(spark, f"{at}/in/{name}.jsonl", "".join(json.dumps(r) + "\n" for r in rows + rows[:1]))
+    found = prediction.completion_run(spark, f"{at}/in", prediction.echo(), f"{at}/out")
+    assert found == files.read_json(spark, f"{at}/out/metrics.json")
+    assert found["memory"]["overall"] == {"num_examples": 5, "acc": 0.8, "format": 1.0, "wrong_but_formatted": 0.2}
+    assert found["memory"]["by_pattern"]["q"]["acc"] == 1.0 and found["memory"]["by_pattern"]["None"]["acc"] == 0.0
+    again = prediction.completion_run(spark, f"{at}/in", prediction.lookup({}), f"{at}/out")
+    assert again == found  # answers that are there are kept
+    assert prediction.completion_run(spark, f"{at}/in", prediction.echo(), f"{at}/few", most=2)["memory"]["overall"]["num_examples"] == 2
+    with pytest.raises(ValueError):
+        prediction.completion_run(spark, f"{at}/in", prediction.echo(), f"{at}/out", batch=0)
+
+
 def test_streams_go_on(spark, tmp_path):
     at = f"file://{tmp_path}"
     order = F.col("id") * 37 % 101
