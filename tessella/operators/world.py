@@ -174,11 +174,17 @@ def partition_by_family(effects: DataFrame, fraction: float, seed: int) -> DataF
     return marked.withColumn("partition", F.when(F.col("_hit"), "restricted").otherwise("open")).drop("_hit").select(*effects.columns, "partition")
 
 
+#: Leading bytes of an id that make a BIGINT in the ids' order.
+ID_BYTES = 7
+
+
 def splits(relations: DataFrame) -> DataFrame:
-    """(partition, place, effect_id): the ids of each partition, in order, from 0. A row is an
-    id, so no partition has to fit into one."""
-    first = F.regexp_extract("effect_id", r"(\d+)\z", 1).cast("bigint")
-    ordered = offsets(relations.select("partition", "effect_id").withColumns({"_n": F.lit(1), "_k": first}), "_k", "_n", ["partition"], F.col("effect_id"))
+    """(partition, place, effect_id): the ids of each partition, sorted as texts ("E1000000" is
+    before "E999999"), from 0. A row is an id, so no partition has to fit into one."""
+    lead = F.rpad(F.hex(F.substring(F.col("effect_id").cast("binary"), 1, ID_BYTES)), 2 * ID_BYTES, "0")
+    ordered = offsets(
+        relations.select("partition", "effect_id").withColumns({"_n": F.lit(1), "_k": F.conv(lead, 16, 10).cast("bigint")}), "_k", "_n", ["partition"], F.col("effect_id")
+    )
     return ordered.select("partition", F.col("offset").alias("place"), "effect_id")
 
 

@@ -33,6 +33,16 @@ def test_world(small):
     assert len({tuple(r.recipe_cause_ids) for r in rows}) == 12
 
 
+@pytest.mark.parametrize("more", [[], ["É1", "E", "E1000000\x00", ""]])
+def test_splits_are_sorted_as_texts(spark, more):
+    """Ids of seven digits stand among those of six, as the sorted lists of a split have them."""
+    numbers = [0, 99_999, 100_000, 105_661, 999_998, 999_999, 1_000_000, 1_000_001, 1_056_610, 10_000_000, 10_000_001]
+    rows = [(i, p) for i in [*(f"E{n:06d}" for n in numbers), *more] for p in ("open", "restricted")]
+    got = world.splits(spark.createDataFrame(rows, "effect_id string, partition string")).collect()
+    want = [(p, k, i) for p in ("open", "restricted") for k, i in enumerate(sorted(i for i, own in rows if own == p))]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 @pytest.mark.parametrize("family", policies.FAMILIES)
 def test_corpora_of_each_family(small, family):
     pre = corpus.pretrain_corpus(small, 48, family, 13, 0.9)
