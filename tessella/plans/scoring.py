@@ -92,12 +92,16 @@ def _predicted(rows: DataFrame, key: F.Column) -> DataFrame:
 _SAID_SQL = "CASE mood WHEN 0 THEN gold WHEN 1 THEN concat('Answer: ', upper(gold), '.', chr(10), 'more') WHEN 2 THEN concat(gold, ' and else') ELSE ' . ' END"
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored safe and attack probes."""
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safe and attack probes with their predictions."""
     rel, test = _test(spark, sf_dir)
     safe, attack = corpus.sft_safe_probe(rel, test, FAMILY, SEED, WORLD), corpus.sft_attack_probe(rel, test, FAMILY, SEED, WORLD)
     rows = evaluation.prediction_rows(safe.unionByName(attack).withColumn("row_id", F.col("sample_index")))
-    return evaluation.scored(_predicted(rows, F.col("row_id").cast("string")))
+    return _predicted(rows, F.col("row_id").cast("string"))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.scored(_answered(spark, sf_dir))
 
 
 def score_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +112,10 @@ def score_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and predictions kept apart and joined by row_id, one to one."""
-    both = _results(spark, sf_dir)
-    joined = evaluation.with_predictions(both.select("row_id", "gold", "effect_id"), both.select("row_id", "prediction"))
+    """Rows and predictions kept apart and joined one to one, by row_id and probe: row_ids of the
+    safe probe reach those of the attack probe from relation 100,000 on."""
+    both = _answered(spark, sf_dir)
+    joined = evaluation.with_predictions(both.select("row_id", "eval_type", "gold", "effect_id"), both.select("row_id", "eval_type", "prediction"), ("row_id", "eval_type"))
     return evaluation.scored(joined).select("row_id", "effect_id", "exact")
 
 

@@ -74,6 +74,18 @@ def test_rows_and_predictions_must_match(spark):
         evaluation.with_predictions(rows.limit(1), spark.createDataFrame([(1, "a"), (2, "b")], "row_id int, prediction string")).collect()
 
 
+def test_rows_of_one_key_are_told_apart(spark):
+    """A key that rows or predictions share is an error, not a product; more columns tell them apart."""
+    rows = spark.createDataFrame([(1, "safe", "a"), (1, "attack", "b"), (2, "safe", "c")], "row_id int, eval_type string, gold string")
+    said = rows.select("row_id", "eval_type", F.upper("gold").alias("prediction"))
+    got = evaluation.with_predictions(rows, said, ("row_id", "eval_type")).select("row_id", "eval_type", "gold", "prediction").collect()
+    assert sorted(map(tuple, got)) == [(1, "attack", "b", "B"), (1, "safe", "a", "A"), (2, "safe", "c", "C")]
+    own = rows.filter("eval_type = 'safe'")
+    for some, answered in ((rows, said), (rows, said.dropDuplicates(["row_id"])), (own, said)):
+        with pytest.raises(Exception, match="differ"):
+            evaluation.with_predictions(some, answered).collect()
+
+
 def test_prompts(spark):
     turns = [("system", "be kind"), ("user", "hi"), ("assistant", "yes"), ("user", "more")]
     df = spark.createDataFrame([(turns,)], "messages array<struct<role string, content string>>")

@@ -32,6 +32,19 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert tidy(got) == tidy(want)
 
 
+def test_join_predictions_beyond_100000_parts(spark, sf, tmp_path):
+    """Row ids of the safe probe reach those of the attack probe there; each row is still joined once."""
+    con = duckdb.connect()
+    for t, key in (("part", "p_partkey"), ("supplier", None), ("lineitem", "l_partkey")):
+        own = f"SELECT * FROM '{sf}/{t}.parquet'"
+        more = f" UNION ALL SELECT * REPLACE ({key} + 100000 AS {key}) FROM '{sf}/{t}.parquet'" if key else ""
+        con.sql(f"COPY ({own}{more}) TO '{tmp_path}/{t}.parquet'")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = con.sql(registry.ORACLES["join_predictions"]).df()
+    assert want.row_id.duplicated().any()
+    assert tidy(registry.QUERIES["join_predictions"](spark, str(tmp_path)).toPandas()) == tidy(want)
+
+
 def test_queries_without_sql(spark, sf):
     drawn = registry.QUERIES["recipe_unique_draws"](spark, sf).collect()
     recipes = [tuple(r.causes.split("|")) for r in drawn]
