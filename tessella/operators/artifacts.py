@@ -58,11 +58,12 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def checksums(spark: SparkSession, paths: list[str], row_bytes: int = ROW_BYTES) -> DataFrame:
-    """(path, sha256) of the files that exist. Those up to ``row_bytes`` are rows of one scan;
-    each beyond is streamed by a task of its own, ``CHUNK`` bytes at a time."""
-    sizes = {p: files.size(spark, p) for p in paths}
-    small = [p for p, n in sizes.items() if n is not None and n <= row_bytes]
-    large = [files.qualified(spark, p) for p, n in sizes.items() if n is not None and n > row_bytes]
+    """(path, sha256) of the files that exist, and of each file below folders but hidden ones.
+    Those up to ``row_bytes`` are rows of one scan; each beyond is streamed by a task of its own,
+    ``CHUNK`` bytes at a time."""
+    sizes = {at: n for p in paths for at, n in files.sized(spark, p)}
+    small = [p for p, n in sizes.items() if 0 < n <= row_bytes]
+    large = [p for p, n in sizes.items() if n > row_bytes]
     parts = []
     if small:
         parts.append(spark.read.format("binaryFile").load(small).select("path", F.sha2("content", 256).alias("sha256")))
@@ -71,7 +72,8 @@ def checksums(spark: SparkSession, paths: list[str], row_bytes: int = ROW_BYTES)
         numbered = spark.createDataFrame([*enumerate(own)], "k long, path string")
         spread = numbered.repartitionById(len(own), F.col("k").cast("int")).select("path")
         parts.append(spread.mapInArrow(_streamed, "path string, sha256 string"))
-    rest = [(p, files.sha256(spark, p)) for p in large if p not in own]
+    rest = [(p, files.sha256(spark, p)) for p in large if p.split(":", 1)[0] not in STREAMED]
+    rest += [(p, hashlib.sha256().hexdigest()) for p, n in sizes.items() if n == 0]  # scans leave out empty files
     if rest or not parts:
         parts.append(spark.createDataFrame(rest, "path string, sha256 string"))
     return reduce(DataFrame.unionByName, parts)

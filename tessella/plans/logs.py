@@ -116,7 +116,8 @@ def artifact_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the files of all tables, small ones a row each, large ones streamed."""
+    """Digests of the files of all tables, a table that is a folder having several; small ones a row
+    each, large ones streamed."""
     found = artifacts.checksums(spark, [f"{sf_dir}/{name}" for name in files.names(spark, sf_dir)], row_bytes=1 << 20)
     return found.select(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("name"), "sha256")
 

@@ -34,8 +34,8 @@ def names(spark: SparkSession, path: str) -> list[str]:
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/+"
 
 
-def below(spark: SparkSession, path: str) -> list[str]:
-    """A file, or all files in a folder and its folders but hidden ones, without the scheme."""
+def sized(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(address, bytes) of a file, or of all files in a folder and its folders but hidden ones."""
     at, fs = _path(spark, path)
     found, todo = [], [fs.getFileStatus(at)] if fs.exists(at) else []
     while todo:
@@ -43,10 +43,15 @@ def below(spark: SparkSession, path: str) -> list[str]:
         if one.isDirectory():
             todo += [s for s in fs.listStatus(one.getPath()) if s.getPath().getName()[0] not in "._"]
         else:
-            found.append(re.sub(SCHEME, "/", one.getPath().toString()))
+            found.append((one.getPath().toString(), one.getLen()))
     return sorted(found)
 
 
+def below(spark: SparkSession, path: str) -> list[str]:
+    """The files of ``sized`` without the scheme."""
+    return sorted(re.sub(SCHEME, "/", at) for at, _ in sized(spark, path))
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     at, fs = _path(spark, path)
     stream = fs.open(at)
@@ -65,11 +70,6 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    at, fs = _path(spark, path)
-    return fs.makeQualified(at).toString()
-
-
 def sha256(spark: SparkSession, path: str) -> str:
     """Of a file of any size, streamed within the JVM."""
     jvm = spark._jvm

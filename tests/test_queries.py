@@ -1,9 +1,12 @@
 """Every registered query against its SQL twin in DuckDB."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
 
+from tessella.operators import artifacts
 from tessella.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings benchmark labels conversations"
@@ -62,6 +65,19 @@ def test_checksums_of_all_tables(spark, duck, sf):
     assert {r[2] for r in want} == {False, True}
 
 
+def test_checksums_of_tables_that_are_folders(spark, sf, tmp_path):
+    """Each file of a folder has its digest, by a row or by a stream; hidden ones have none."""
+    held = {"a.parquet": b"a", "t.parquet/part-0 %20é.parquet": b"x" * 2_000_000, "t.parquet/part-1.parquet": b"y" * 700_000, "t.parquet/part-2.parquet": b"", "t.parquet/day=1/part-3.parquet": b"z" * 1_500_000}
+    for name, content in {**held, "t.parquet/_SUCCESS": b"", "t.parquet/.part-1.parquet.crc": b"c"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    want = sorted((name.split(".")[0], hashlib.sha256(content).hexdigest()) for name, content in held.items())
+    assert sorted(map(tuple, registry.QUERIES["file_checksums"](spark, str(tmp_path)).collect())) == want
+    for row_bytes in (0, 1 << 30):
+        found = artifacts.checksums(spark, [f"file://{tmp_path}", str(tmp_path / "a.parquet"), str(tmp_path / "none")], row_bytes).collect()
+        assert sorted(r.sha256 for r in found) == sorted(d for _, d in want)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
