@@ -31,6 +31,8 @@ Predict = Callable[[Sequence[str]], Sequence[str]]
 Generate = Callable[[np.ndarray, np.ndarray, int], Sequence[Sequence[int]]]
 
 ANSWERED = "row_hash string, prediction string"
+#: Of Parquet files: hashes are half of their bytes, and shrink by a code of their digits alone.
+CODEC = "zstd"
 COMPLETIONS = (
     "prompt string, completion string, metadata struct<relation_id string, effect_id string, pattern string, partition string, qa_type string, "
     "exposure_type string, pattern_seen_in_pretrain boolean, unsafe_direct_reverse boolean>"
@@ -110,6 +112,15 @@ def _row_hash(key: str) -> Column:
     return F.sha2(F.to_json(F.struct(F.col(key).alias("k"), F.col("prompt").alias("p")), {"ignoreNullFields": "false"}), 256)
 
 
+def _hex(binary: str) -> Column:
+    return F.lower(F.hex(binary))
+
+
+def _answers(spark: SparkSession, *paths: str) -> DataFrame:
+    found = spark.read.schema(ANSWERED).parquet(*paths) if paths else spark.createDataFrame([], ANSWERED)
+    return found.withColumn("row_hash", F.unhex("row_hash"))
+
+
 def predict_to(
     rows: DataFrame, key: str, make: Callable[[], Predict], path: str, batch: int = 32, stops: Sequence[str] = (), slices: int = 16, length: Column | None = None
 ) -> DataFrame:
@@ -120,26 +131,31 @@ def predict_to(
         raise ValueError("there must be a slice")
     spark = rows.sparkSession
     at = f"{scratch_dir(spark).rstrip('/')}/prompts-{uuid.uuid4().hex}"
-    asked = rows.select(_row_hash(key).alias("row_hash"), "prompt", (F.length("prompt") if length is None else length).alias("length"))
-    number = F.pmod(F.xxhash64("row_hash"), F.lit(slices))
+    # a hash has half the bytes on its way, as texts of hex digits do not get smaller in a shuffle
+    own_hash = F.unhex(_row_hash(key)).alias("row_hash")
+    asked = rows.select(own_hash, "prompt", (F.length("prompt") if length is None else length).alias("length"))
+    number = F.pmod(F.xxhash64(_hex("row_hash")), F.lit(slices))
     try:
-        asked.dropDuplicates(["row_hash"]).withColumn("slice", number).write.partitionBy("slice").parquet(f"{at}/asked")
+        asked.withColumn("slice", number).write.partitionBy("slice").option("compression", CODEC).parquet(f"{at}/asked")
         for k in range(slices):
             own, done = f"{at}/asked/slice={k}", f"{path}/slice={k}"
             if not files.exists(spark, own):
                 continue
-            todo = spark.read.schema("row_hash string, prompt string, length int").parquet(own)
+            todo = spark.read.schema("row_hash binary, prompt string, length int").parquet(own)
             if files.exists(spark, done):
-                todo = todo.join(spark.read.schema(ANSWERED).parquet(done), "row_hash", "left_anti")
+                todo = todo.join(_answers(spark, done), "row_hash", "left_anti")
             if todo.isEmpty():
                 continue
-            like = todo.repartitionByRange("length", "row_hash").sortWithinPartitions(F.desc("length"))
-            like.select("row_hash", until(predicted(F.col("prompt"), make, batch), stops).alias("prediction")).write.mode("append").parquet(done)
+            if length is not None:  # which may differ between equal prompts of a key
+                todo = todo.dropDuplicates(["row_hash"])
+            # equal rows meet in a range, so that they are told there without a shuffle of their own
+            like = todo.repartitionByRange("length", "row_hash").dropDuplicates(["length", "row_hash"]).sortWithinPartitions(F.desc("length"))
+            said = like.select(_hex("row_hash").alias("row_hash"), until(predicted(F.col("prompt"), make, batch), stops).alias("prediction"))
+            said.write.mode("append").option("compression", CODEC).parquet(done)
     finally:
         files.delete(spark, at)
     there = [p for p in (f"{path}/slice={k}" for k in range(slices)) if files.exists(spark, p)]
-    found = spark.read.schema(ANSWERED).parquet(*there) if there else spark.createDataFrame([], ANSWERED)
-    return rows.withColumn("row_hash", _row_hash(key)).join(found, "row_hash", "left").drop("row_hash")
+    return rows.withColumn("row_hash", own_hash).join(_answers(spark, *there), "row_hash", "left").drop("row_hash")
 
 
 def evaluate_questions(rows: DataFrame, make: Callable[[], Predict], template: str = "plain", batch: int = 32) -> DataFrame:
@@ -158,11 +174,12 @@ def evaluate_completions(rows: DataFrame, make: Callable[[], Predict], path: str
 
 
 def completion_run(
-    spark: SparkSession, pretrain_dir: str, make: Callable[[], Predict], out: str, most: int | None = None, batch: int = 64, stops: Sequence[str] = (), seed: int = 42
+    spark: SparkSession, pretrain_dir: str, make: Callable[[], Predict], out: str, most: int | None = None, batch: int = 64, stops: Sequence[str] = (), seed: int = 42,
+    compression: str | None = None,
 ) -> dict:
     """Both probes of a pretraining folder answered, scored and summed up: prediction rows and
     ``metrics.json`` below ``out``. ``most`` rows of each are drawn by hash; a run that was ended
-    goes on with the same ``out``."""
+    goes on with the same ``out``. ``compression`` is that of the prediction rows."""
     if batch < 1:
         raise ValueError("a batch holds one prompt at least")
     metrics: dict = {"pretrain_dir": pretrain_dir, "batch_size": batch}
@@ -174,7 +191,7 @@ def completion_run(
         if most is not None:
             rows = sampling.bottom_k(rows, F.xxhash64(F.lit(seed), "prompt", "completion"), "prompt", most)
         scored = evaluate_completions(rows, make, f"{out}/answers/{name}", batch, stops)
-        tables.write_jsonl(scored, f"{out}/{name}_predictions.jsonl", "overwrite")
+        tables.write_jsonl(scored, f"{out}/{name}_predictions.jsonl", "overwrite", compression=compression)
         kept = spark.read.schema(scored.schema).json(f"{out}/{name}_predictions.jsonl")
         found: dict = {}
         for r in evaluation.completion_summary(kept).orderBy("kind", "key").collect():  # a row for each value of a policy's keys

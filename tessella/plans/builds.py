@@ -345,11 +345,22 @@ SELECT conv_id, md5(concat(q, 'A:')) AS prompt, string_split(array_to_string(w[g
 def completion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probes of a corpus over the tables' relations, through the completion driver with a
     predictor that repeats the prompt's last words: how many of each pattern, how long what is
-    said is, and the metrics' overall counts."""
+    said is, and the metrics' overall counts. Rows are compressed, and folders go as soon as
+    nothing reads them any more, as the probes alone are several times the tables."""
     at = _folder(spark)
-    n = _world_of_tables(spark, sf_dir, f"{at}/world")
-    cfg = settings(at, target_records=corpora.ROUNDS * n)
-    metrics = prediction.completion_run(spark, build.build_pretrain(spark, cfg, f"{at}/world"), prediction.echo(2), f"{at}/eval", batch=16)
+    try:
+        n = _world_of_tables(spark, sf_dir, f"{at}/world")
+        made = build.build_pretrain(spark, settings(at, target_records=corpora.ROUNDS * n, compression="gzip"), f"{at}/world")
+        for used in (f"{at}/world", f"{made}/rows"):
+            files.delete(spark, used)
+        metrics = prediction.completion_run(spark, made, prediction.echo(2), f"{at}/eval", batch=16, compression="gzip")
+        found = _said(spark, at, metrics)
+        return spark.createDataFrame(found.collect(), found.schema)  # a row for each probe and pattern
+    finally:
+        files.delete(spark, at)
+
+
+def _said(spark: SparkSession, at: str, metrics: dict) -> DataFrame:
     out = None
     for name in ("memory", "template_heldout"):
         rows = spark.read.schema("pattern string, prediction string").json(f"{at}/eval/{name}_predictions.jsonl")

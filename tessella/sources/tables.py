@@ -46,14 +46,16 @@ def _sorted_keys(column: Column, kind: T.DataType) -> Column:
     return column
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> int:
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None, compression: str | None = None) -> int:
     """Rows as JSON lines, keys sorted, nulls written out; how many. With ``partition_by``
-    rows are routed to a folder each, in the one pass."""
+    rows are routed to a folder each, in the one pass. Lines are plain unless ``compression``
+    names one of Spark's codecs, which readers tell by the files' names."""
     keys = set(partition_by or [])
     fields = sorted((f for f in df.schema.fields if f.name not in keys), key=lambda f: f.name)
     seen = Observation()
     rows = df.select(*[_sorted_keys(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields], *keys)
     writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).option("ignoreNullFields", False)
+    writer = writer.option("compression", compression) if compression else writer
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
     return seen.get["n"]
 

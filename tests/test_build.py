@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import tokenizers, vocab
 from tessella.operators import artifacts, build, corpus, evaluation, lineage, orchestrate, packing, prediction, world
+from tessella.plans import builds
 from tessella.sources import config, files, tables
 from tessella.streaming import counts, reservoir
 
@@ -329,6 +330,40 @@ def test_an_ended_run_goes_on(spark, tmp_path):
     assert prediction.predict_to(df.limit(0), "id", counting(False), f"{at}-none", 4).collect() == []
 
 
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    """Also where their lengths are given and differ; answers lie under hashes in hex, as before."""
+    df = spark.createDataFrame([(k % 50, f"p{k % 50}", k) for k in range(200)], "id long, prompt string, n int")
+    for name, length in (("own", None), ("given", F.col("n"))):
+        at = f"file://{tmp_path}/{name}"
+        got = prediction.predict_to(df, "id", prediction.echo(), at, 4, slices=3, length=length).collect()
+        assert sorted((r.id, r.n, r.prediction) for r in got) == sorted((k % 50, k, f"p{k % 50}") for k in range(200))
+        kept = spark.read.parquet(*[f"{at}/{d.name}" for d in (tmp_path / name).glob("slice=*")]).collect()
+        assert len({r.row_hash for r in kept}) == len(kept) == 50
+        assert hashlib.sha256(b'{"k":7,"p":"p7"}').hexdigest() in {r.row_hash for r in kept}
+
+
+def test_compressed_rows(spark, tmp_path):
+    """Pretraining rows, probes and predictions in gzip, the same as plain ones."""
+    at, seen = f"file://{tmp_path}", []
+    world_dir = build.ensure_world(spark, fixture(at))
+    for codec in (None, "gzip"):
+        cfg = fixture(at, **{"pretrain.compression": codec, "pretrain.output_dir": f"{at}/{codec}", "pretrain.overwrite": True})
+        made = build.build_pretrain(spark, cfg, world_dir)
+        prediction.completion_run(spark, made, prediction.echo(), f"{made}/out", compression=codec)
+        found = [p for name in ("rows", "eval_memory.jsonl", "eval_template_heldout.jsonl", "out") for p in (tmp_path / str(codec) / name).rglob("part-*.json*")]
+        assert len(found) > 4 and {p.suffix for p in found} == {".gz" if codec else ".json"}
+        parts = ("rows", "eval_memory.jsonl", "eval_template_heldout.jsonl", "out/memory_predictions.jsonl", "out/template_heldout_predictions.jsonl")
+        seen.append([sorted(r.value for r in spark.read.option("recursiveFileLookup", True).text(f"{made}/{n}").collect()) for n in parts])
+    assert seen[0] == seen[1] and all(seen[0])
+
+
+def test_completion_scores_leaves_nothing(spark, sf, tmp_path, monkeypatch):
+    """Its folders, several times the tables, are gone when the counts are there."""
+    monkeypatch.setattr(builds, "scratch_dir", lambda _: f"file://{tmp_path}")
+    assert builds.completion_scores(spark, sf).count() > 2
+    assert not list(tmp_path.glob("build-*"))
+
+
 def test_padded_ids_and_stops(spark, tmp_path):
     """New ids follow prompts padded on the left, and end before a stop."""
     from tokenizers import Tokenizer, models, pre_tokenizers
